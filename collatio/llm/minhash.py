@@ -5,7 +5,8 @@ Sketch: Dahlgaard, Knudsen, Thorup, Fast Similarity Sketching (FOCS 2017). In ro
 Steps, none of which emits all pairs of a group:
 1. documents with the same set of shingles collapse to their smallest doc_id;
 2. the others' sketches are cut into bands; in a bucket (equal band) each member is paired with the bucket's smallest member, and each document's smallest such partner is verified on the full sets: a forest whose components are classes so far;
-3. in buckets that still hold several classes, members of all classes but the largest are paired with members of other classes; pairs whose sketches agree enough are verified. With that every pair of a bucket has been verified or lies in one class.
+3. in buckets that still hold several classes, members of all classes but the largest are paired with one member of the largest, and classes merge;
+4. the documents of buckets that still hold several classes are joined by prefix filter (Chaudhuri, Ganti, Kaushik, A Primitive Operator for Similarity Joins, 2006): two sets with J >= 0.8 share one of the n - ceil(0.8 n) + 1 first elements of each, in any order common to all; the order puts rare elements first, so that what a whole family shares meets nowhere. Only pairs of different classes come out, and pairs whose sketches agree enough are verified. With that every pair of a bucket has been verified, lies in one class or can't be a link.
 With 40 bands of 5 rows a pair at the limit of 0.8 shares no bucket with a chance of 1e-7.
 
 Nulls: a null text is empty. Documents without words have no shingles, are linked with nothing and kept. Rows that repeat a doc_id with the same text get the same result each. An empty table gives an empty result.
@@ -23,8 +24,10 @@ from . import common as C
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-#: A pair with J = 0.8 has 200 equal coordinates in 250; 0.6 is seven standard deviations below.
-SKETCH_LEAST = 0.6
+#: A pair with J = 0.8 has 160 equal coordinates of 200; 0.66 is five standard deviations below.
+SKETCH_LEAST = 0.66
+#: Counters for the order of shingles by how common they are; the order need only be the same everywhere, so collisions cost time, never links.
+COUNTERS = 1 << 20
 #: Ids broadcast at once: 16 MB at most.
 BROADCAST_IDS = 1_000_000
 
@@ -102,6 +105,65 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _counts(k: int):
+    """One row for each counter that a task has met."""
+
+    def run(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for data in batch.column("text").to_pylist():
+                np.add.at(counts, (C.shingles(C.words_of(data), k) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 1 << 16):
+            x = at[i : i + (1 << 16)]
+            yield pa.record_batch([pa.array(x.astype(np.int32)), pa.array(counts[x])], ["at", "n"])
+
+    return run
+
+
+def _prefixes(k: int, percent: int, shared):
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            ids, sizes, tokens, places = [], [], [], []
+            for i, data in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                s = C.shingles(C.words_of(data), k)
+                n = len(s)
+                first = s[np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
+                ids.append(np.full(len(first), i))
+                sizes.append(np.full(len(first), n))
+                tokens.append(first.view(np.int64))
+                places.append(np.arange(len(first)))
+            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, ids, sizes, places)], ["token", "rep", "n", "place"])
+
+    return run
+
+
+def merged(classes: DataFrame, links: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """classes (node, component) after links (a, b) between nodes, both tables already written."""
+    over = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+    edges = links.join(over("a"), "a", "left").join(over("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    joined = scratch.write(C.connected_components(edges, scratch).select(F.col("node").alias("class"), F.col("component").alias("into")), "joined")
+    old = classes.join(joined, classes.component == joined["class"], "left").select("node", F.coalesce("into", "component").alias("component"))
+    new = joined.join(classes, joined["class"] == classes.node, "left_anti").select(F.col("class").alias("node"), F.col("into").alias("component"))
+    return scratch.write(old.unionAll(new), "classes")
+
+
+def split_groups(members: DataFrame, classes: DataFrame, scratch: C.Scratch, by: str) -> DataFrame:
+    """Of members (by, rep, ...) those of groups with several classes, with class and main, the group's largest class."""
+    named = members.join(classes, members.rep == classes.node, "left").drop("node").withColumn("class", F.coalesce("component", "rep")).drop("component")
+    mixed = named.groupBy(by, "class").agg(F.count("*").alias("size")).groupBy(by).agg(F.max(F.struct("size", "class")).alias("most"), F.count("*").alias("classes")).where("classes > 1").select(by, F.col("most.class").alias("main"))
+    return scratch.write(named.join(scratch.write(mixed, "mixed"), by), "named")
+
+
+def agreeing(pairs: DataFrame, each: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Of pairs (a, b), a table already written, those whose sketches agree in enough coordinates."""
+    need = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "need")
+    coords = scratch.write(each.select("doc_id", "coords").where("length(coords) > 0").join(C.broadcast_below(need, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "coords")
+    x, y = (coords.select(F.col("doc_id").alias(c), F.col("coords").alias(f"{c}_coords")) for c in "ab")
+    return scratch.write(pairs.join(x, "a").join(y, "b").select("a", "b", "a_coords", "b_coords").mapInArrow(_agree, "a long, b long"), "near")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, scratch: C.Scratch, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of doc_ids, a table already written, those whose whole texts have enough shingles in common."""
     need = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "need")
@@ -123,30 +185,36 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sets = scratch.write(each.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "sets")
     reps = each.where("n_shingles > 0").join(sets.select(F.col("set_key").alias("of"), "rep"), (F.col("set_key") == F.col("of")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["set_key"])
     rows = scratch.write(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")), "bands")
-    buckets = scratch.write(rows.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least"), "buckets")
-    members = scratch.write(rows.join(buckets, "band").select("band", "least", "rep"), "members")
+    buckets = rows.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    members = scratch.write(rows.join(scratch.write(buckets, "buckets"), "band").select("band", "least", "rep"), "members")
     forest = scratch.write(members.where("rep <> least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b")), "forest")
-    links = verified(forest, docs, scratch, shingle, percent)
-    classes = scratch.write(C.connected_components(links, scratch), "classes")
-
-    named = members.join(classes, members.rep == classes.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("class"))
-    mixed = scratch.write(named.groupBy("band", "class").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "class")).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("band", F.col("most.class").alias("main")), "mixed")
-    named = scratch.write(named.join(mixed, "band"), "named")
-    rest = named.where("class <> main").select("band", F.col("rep").alias("x"), F.col("class").alias("of_x"))
-    pairs = named.join(rest, "band").where("class <> of_x and (class = main or rep < x)").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-    pairs = scratch.write(pairs.join(forest, ["a", "b"], "left_anti"), "pairs")
-    coords = each.select("doc_id", "coords").where("length(coords) > 0")
-    need = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "need")
-    coords = scratch.write(coords.join(C.broadcast_below(need, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "coords")
-    x, y = (coords.select(F.col("doc_id").alias(c), F.col("coords").alias(f"{c}_coords")) for c in "ab")
-    near = scratch.write(pairs.join(x, "a").join(y, "b").select("a", "b", "a_coords", "b_coords").mapInArrow(_agree, "a long, b long"), "near")
-    more = verified(near, docs, scratch, shingle, percent)
-    over = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
-    joined = C.connected_components(more.join(over("a"), "a", "left").join(over("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")), scratch)
-
-    joined = scratch.write(joined.select(F.col("node").alias("class"), "component"), "joined")
-    sets = sets.join(classes, sets.rep == classes.node, "left").select("set_key", F.coalesce("component", "rep").alias("class"))
-    sets = sets.join(joined, "class", "left").select(F.col("set_key").alias("of"), F.coalesce("component", "class").alias("component_id"))
+    classes = scratch.write(C.connected_components(verified(forest, docs, scratch, shingle, percent), scratch), "classes")
+
+    members = members.select("band", "rep")
+    named = split_groups(members, classes, scratch, "band")
+    if not named.isEmpty():
+        pivots = named.where("class = main").groupBy("band").agg(F.max("rep").alias("pivot"))
+        pairs = named.where("class <> main").join(pivots, "band").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        near = agreeing(scratch.write(pairs, "pairs"), each, scratch)
+        classes = merged(classes, verified(near, docs, scratch, shingle, percent), scratch)
+        named = split_groups(named.select("band", "rep"), classes, scratch, "band")
+    if not named.isEmpty():
+        some = scratch.write(named.select(F.col("rep").alias("doc_id")).distinct(), "some")
+        texts = scratch.write(docs.join(C.broadcast_below(some, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        counts = np.zeros(COUNTERS, np.int64)
+        found = texts.mapInArrow(_counts(shingle), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+        counts[found["at"]] = found["n"]
+        shared = spark.sparkContext.broadcast(counts)
+        heads = scratch.write(texts.mapInArrow(_prefixes(shingle, percent, shared), "token long, rep long, n long, place long"), "heads")
+        named = split_groups(heads, classes, scratch, "token")
+        rest = named.where("class <> main").select("token", F.col("rep").alias("x"), F.col("class").alias("of_x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"))
+        # from a first common element on, both sets must hold enough elements (the positional filter of Xiao et al., Efficient Similarity Joins, 2008)
+        fits = f"class <> of_x and (class = main or rep < x) and {100 + percent} * least(n - place, n_x - place_x) >= {percent} * (n + n_x)"
+        pairs = named.join(rest, "token").where(fits).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+        near = agreeing(scratch.write(pairs, "pairs"), each, scratch)
+        classes = merged(classes, verified(near, docs, scratch, shingle, percent), scratch)
+
+    sets = sets.join(classes, sets.rep == classes.node, "left").select(F.col("set_key").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     out = each.select("doc_id", "n_shingles", "set_key").join(sets, F.col("set_key") == F.col("of"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
