@@ -217,4 +217,4 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sets = sets.join(classes, sets.rep == classes.node, "left").select(F.col("set_key").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     out = each.select("doc_id", "n_shingles", "set_key").join(sets, F.col("set_key") == F.col("of"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

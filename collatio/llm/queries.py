@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, quality, rans, secrets, warc
+from . import bpe, decontam, hpyp, minhash, ordinal, quality, rans, secrets, toxicity, warc
 from . import common as C
 
 
@@ -68,18 +68,38 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined("base").cast("binary"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpyp.score(C.table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op9_rans_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = C.Scratch(spark, "rans").folder("shards")
     out = rans.read(rans.write(C.table(spark, sf_dir, "documents"), folder, byte_bpe(), end=2), folder)
     return out.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.score(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
+    "op6_decontamination": op6_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_toxicity": op8_toxicity,
     "op9_rans_binary": op9_rans_binary,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op4_warc": OP4_SQL}

@@ -83,16 +83,21 @@ def ratio(run: Column, table: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, pair(i)))
 
 
+def annotate(df: DataFrame, text: str, table: list[float]) -> DataFrame:
+    """df with _base and _spans: the spans of the fixed patterns, and all."""
+    ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    found = df.withColumn("_fixed", base_spans(F.col(text))).withColumn("_runs", _spans(F.col(text), CANDIDATE, 3))
+    free = lambda s: ~F.exists("_fixed", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    looks = lambda s: s["match"].rlike("[0-9]") & (ratio(s["match"], ratios) >= MEAN * F.length(s["match"]))
+    more = F.filter("_runs", lambda s: looks(s) & free(s))
+    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return found.withColumn("_base", plain("_fixed")).withColumn("_spans", plain(F.array_sort(F.concat("_fixed", more)))).drop("_fixed", "_runs")
+
+
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, text, base (spans of the fixed patterns) and spans (all), each array<struct<start,kind,end>> in order of start, kind; kind is a place in KINDS."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    table = F.from_json(F.lit(json.dumps(train(docs, sample=sample))), "array<double>")
-    found = docs.withColumn("fixed", base_spans(F.col("text"))).withColumn("runs", _spans(F.col("text"), CANDIDATE, 3))
-    free = lambda s: ~F.exists("fixed", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    looks = lambda s: s["match"].rlike("[0-9]") & (ratio(s["match"], table) >= MEAN * F.length(s["match"]))
-    more = F.filter("runs", lambda s: looks(s) & free(s))
-    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.select("doc_id", "text", plain("fixed").alias("base"), plain(F.array_sort(F.concat("fixed", more))).alias("spans"))
+    return annotate(docs, "text", train(docs, sample=sample)).withColumnsRenamed({"_base": "base", "_spans": "spans"})
 
 
 def joined(spans: str) -> Column:
