@@ -11,21 +11,44 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
+#: White space other than the space and the line feed.
+OTHER = [c for c in map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) if c != "\n"]
+PAIRS = ("  ", "\n ", "\n\n", " \n")
+
+
+def keys(text: str) -> list[str]:
+    """The chunks of a text by key: most texts have single spaces and line feeds only, there a word stands for itself after a space; other chunks begin with a line feed or are marked."""
+    if any(p in text for p in PAIRS) or any(c in text for c in OTHER):
+        return ["\0" + c for c in CHUNK.findall(text)]
+    out: list[str] = []
+    first = "\0"
+    for line in text.split("\n"):
+        words = line.split(" ")
+        words[0] = first + words[0]
+        out += words
+        first = "\n"
+    return out
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+
+
 class Chunked:
     """Encodes texts by a function of distinct chunks; the cache is emptied beyond KEEP chunks."""
 
-    KEEP = 400_000
+    KEEP = 1_000_000
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode, self.known = encode, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [CHUNK.findall(t) for t in texts]
+        cut = [keys(t) for t in texts]
         new = list(set().union(*cut).difference(self.known))
         if new:
             if len(self.known) + len(new) > self.KEEP:
                 self.known.clear()
                 new = list(set().union(*cut))
-            self.known.update(zip(new, self.encode(new), strict=True))
+            self.known.update(zip(new, self.encode(list(map(chunk_of, new))), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from collatio.llm import bpe, chunks
+from collatio.llm import bpe, chunks, rans
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,14 @@ def test_few_words_need_merging():
 def test_chunks_join_to_the_text():
     for text in strings():
         assert "".join(chunks.CHUNK.findall(text)) == text
+        assert "".join(map(chunks.chunk_of, chunks.keys(text))) == text
+
+
+def test_library_by_joined_chunks():
+    t = Tokenizer.from_file(PATH)
+    encode, texts = chunks.Chunked(rans.by_library(t)), list(strings())
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_frames(spark):
