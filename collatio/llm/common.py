@@ -49,7 +49,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.folder(f"{name}-{uuid.uuid4().hex[:8]}")
         schema = df.schema
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
 
