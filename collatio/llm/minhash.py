@@ -27,7 +27,7 @@ COORDINATES = BANDS * ROWS
 #: A pair with J = 0.8 has 160 equal coordinates of 200; 0.66 is five standard deviations below.
 SKETCH_LEAST = 0.66
 #: Counters for the order of shingles by how common they are; the order need only be the same everywhere, so collisions cost time, never links.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: Ids broadcast at once: 16 MB at most.
 BROADCAST_IDS = 1_000_000
 

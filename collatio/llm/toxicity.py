@@ -80,14 +80,19 @@ class Index:
         self.number, self.idf, self.share = number, idf, share
         examples = sorted(examples, key=lambda e: (e[2][np.argmax(e[3])], e[0]))  # like examples together: closer bounds
         self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], float)
-        self.blocks = -(-len(examples) // BLOCK)
-        self.weights = np.zeros((self.blocks, len(number), BLOCK), np.float32)
-        for i, (_, _, at, w) in enumerate(examples):
+        self.blocks, self.vectors, self.weights = -(-len(examples) // BLOCK), [(at, w.astype(np.float32)) for _, _, at, w in examples], None
+
+    def _unpack(self) -> None:
+        """The blocks' weights and bounds, where they are searched; the driver sends the vectors only."""
+        self.weights = np.zeros((self.blocks, len(self.number), BLOCK), np.float32)
+        for i, (at, w) in enumerate(self.vectors):
             self.weights[i // BLOCK, at, i % BLOCK] = w
-        self.most = self.weights.max(axis=2) if self.blocks else np.zeros((0, len(number)), np.float32)
+        self.most = self.weights.max(axis=2) if self.blocks else np.zeros((0, len(self.number)), np.float32)
 
     def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples; ties go to the lower place."""
+        if self.weights is None:
+            self._unpack()
         w = w.astype(np.float32)
         bound = self.most[:, at] @ w
         places, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
