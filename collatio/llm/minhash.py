@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         some = scratch.write(named.select(F.col("rep").alias("doc_id")).distinct(), "some")
         texts = scratch.write(docs.join(C.broadcast_below(some, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
         counts = np.zeros(COUNTERS, np.int64)
-        found = texts.mapInArrow(_counts(shingle), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-        counts[found["at"]] = found["n"]
+        found = texts.mapInArrow(_counts(shingle), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+        counts[found["at"].to_numpy()] = found["n"].to_numpy()
         shared = spark.sparkContext.broadcast(counts)
         heads = scratch.write(texts.mapInArrow(_prefixes(shingle, percent, shared), "token long, rep long, n long, place long"), "heads")
         named = split_groups(heads, classes, scratch, "token")

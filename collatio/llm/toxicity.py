@@ -138,6 +138,19 @@ def _count(batches):
         yield pa.record_batch([pa.array(some, pa.string()), pa.array([toxic[x] for x in some], pa.int64()), pa.array([other[x] for x in some], pa.int64())], ["feature", "toxic", "other"])
 
 
+def _vectors(number: dict[str, int], idf: np.ndarray):
+    """Features and weights of the examples that have any."""
+
+    def run(batches):
+        matcher = Matcher(number)
+        for batch in batches:
+            found = [matcher.vector(x, idf) for x in batch.column("text").to_pylist()]
+            out = pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([at.tobytes() for at, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["doc_id", "label", "at", "weights"])
+            yield out.filter(pa.array([len(at) > 0 for at, _ in found], pa.bool_()))
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> Index:
     """docs: doc_id, text as bytes; labels: doc_id and a label of 0 or 1."""
     scratch = C.Scratch(docs.sparkSession, "toxicity")
@@ -156,11 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> Index:
     chosen = counts.where(f"toxic >= {SUPPORT}").where(likelier >= RATIO).orderBy(rest.desc(), "feature").limit(FEATURES).collect()
     number = {r["feature"]: i for i, r in enumerate(chosen)}
     idf = np.array([math.log((p + n + 1) / (r["toxic"] + r["other"] + 1)) + 1 for r in chosen])
-    matcher, examples = Matcher(number), []
-    for r in sample.toLocalIterator():
-        at, w = matcher.vector(bytes(r["text"]), idf)
-        if len(at):
-            examples.append((r["doc_id"], r["label"], at, w))
+    vectors = sample.select("doc_id", "label", "text").mapInArrow(_vectors(number, idf), "doc_id long, label int, at binary, weights binary").toArrow()  # TOXIC + OTHER rows, FEATURES values each at most
+    examples = [(i, label, np.frombuffer(at, np.int64), np.frombuffer(w)) for i, label, at, w in zip(*(c.to_pylist() for c in vectors.columns), strict=True)]
     return Index(number, idf, examples, share)
 
 
