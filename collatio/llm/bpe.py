@@ -65,7 +65,7 @@ class Codec:
         self.sound = np.full(len(names), -1, np.int8)
         self.sound[:256] = 1
         self.merged = 0
-        self.chunked = Chunked(self._encode_chunks)
+        self.chunked = Chunked(self._encode_chunks, 400_000)
 
     def greedy(self, word: bytes) -> list[int]:
         out, at, end, number = [], 0, len(word), self.number

@@ -35,18 +35,16 @@ def chunk_of(key: str) -> str:
 
 
 class Chunked:
-    """Encodes texts by a function of distinct chunks; the cache is emptied beyond KEEP chunks."""
+    """Encodes texts by a function of distinct chunks; the cache is emptied beyond keep chunks (about 200 bytes each)."""
 
-    KEEP = 1_000_000
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 1_000_000):
+        self.encode, self.keep, self.known = encode, keep, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [keys(t) for t in texts]
         new = list(set().union(*cut).difference(self.known))
         if new:
-            if len(self.known) + len(new) > self.KEEP:
+            if len(self.known) + len(new) > self.keep:
                 self.known.clear()
                 new = list(set().union(*cut))
             self.known.update(zip(new, self.encode(list(map(chunk_of, new))), strict=True))

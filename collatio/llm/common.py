@@ -70,7 +70,7 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a number of entries, then computed anew."""
 
-    KEEP = 400_000
+    KEEP = 150_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
