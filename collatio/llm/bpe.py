@@ -23,6 +23,8 @@ from .chunks import SPACE, Chunked
 #: The pattern of the byte-level pre-tokenizer (fixed by the file format).
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _FAR = np.int64(1) << np.int64(40)
+#: Bytes of words that are merged by list, and the rank of pairs that don't merge.
+SHORT, NONE = 64, 1 << 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,7 +47,7 @@ class Codec:
         number = {name: i for i, name in enumerate(names)}
         self.bytes = [plain(name) for name in names]
         self.number = {b: i for i, b in enumerate(self.bytes)}
-        self.ids = np.array([vocab[name] for name in names], np.uint32)
+        self.ids = [vocab[name].to_bytes(4, "little") for name in names]
         self.left, self.right = np.arange(len(names)), np.arange(len(names))
         self.rank: dict[tuple[int, int], int] = {}
         for i, (a, b) in enumerate(merges, 256):
@@ -97,8 +99,24 @@ class Codec:
         return good
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: again and again the pair of least rank, the leftmost first."""
+        """Exact merging: again and again the pair of least rank, the leftmost first. Short words keep their pairs' ranks in a list."""
         self.merged += 1
+        if len(word) > SHORT:
+            return self._merge_long(word)
+        tokens, rank = list(word), self.rank.get
+        ranks = [rank(pair, NONE) for pair in zip(tokens, tokens[1:], strict=False)]
+        while ranks and (r := min(ranks)) != NONE:
+            i = ranks.index(r)
+            tokens[i] = r
+            del tokens[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((tokens[i - 1], r), NONE)
+            if i < len(ranks):
+                ranks[i] = rank((r, tokens[i + 1]), NONE)
+        return tokens
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap, so that long words take little more than linear time."""
         tokens: list[int | None] = list(word)
         after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         heap = [(r, i, x) for i, x in enumerate(zip(tokens, tokens[1:], strict=False)) if (r := self.rank.get(x)) is not None]
@@ -136,7 +154,7 @@ class Codec:
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         cut = [WORD.findall(c) for c in chunks]
         words = list(set().union(*cut))
-        known = {w: self.ids[x].tobytes() for w, x in zip(words, self.words([w.encode() for w in words]), strict=True)}
+        known = {w: b"".join(map(self.ids.__getitem__, x)) for w, x in zip(words, self.words([w.encode() for w in words]), strict=True)}
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
