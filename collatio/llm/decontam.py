@@ -1,6 +1,6 @@
 """Benchmark passages in training texts: BM25 over an inverted index of the test items, block-max WAND bounds, verified overlap.
 
-Every text is cut into windows of words that overlap by half; each window is a query, each test item a document of the index. An item is retrieved if its BM25 score is at least SHARE of the score that its own words have. Weights are divided by the item's threshold, so that a window reaches an item if the sum is 1 or more. Bounds, as in block-max WAND (Ding, Suel, Faster Top-k Document Retrieval Using Block-Max Indexes, 2011), leave out what can't reach it: first the sums of each term's largest weight within SUPER groups of items, then within blocks of BLOCK items; only blocks that pass are scored. A retrieved item counts if the text around the window holds at least OVERLAP of the word 5-grams of its question and of its answer (the part after the last question mark or line break, else the last third).
+Every text is cut into windows of words that overlap by half; each window is a query, each test item a document of the index. An item is retrieved if its BM25 score is at least SHARE of the score that its own words have. Weights are divided by the item's threshold, so that a window reaches an item if the sum is 1 or more. Bounds, as in block-max WAND (Ding, Suel, Faster Top-k Document Retrieval Using Block-Max Indexes, 2011), leave out what can't reach it: first the sums of each term's largest weight within SUPER groups of items, then within blocks of BLOCK items; only blocks that pass are scored. A retrieved item counts if the text around the window holds at least OVERLAP of the word 5-grams of its question and of its answer (the part after the last question mark or line break, else the last third). Punctuation at the edges of words does not count there, and a part of fewer than 10 words has grams of half its words; of a one-word part that word itself must be there.
 
 Items come in rounds of ITEMS at most, so the index that is sent to executors has a bound; every round scans the texts. Nulls and empty texts or items match nothing; rows that repeat a doc_id with the same text give their rows once. Long texts are windows like any other. An empty table on either side gives an empty result.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -20,12 +21,22 @@ from . import common as C
 
 K1, B, SHARE, OVERLAP, GRAM = 1.2, 0.75, 0.5, 0.5, 5
 SUPER, BLOCK, ITEMS = 8, 8, 20_000
+EDGE = string.punctuation.encode()
 SCHEMA = "doc_id long, item_id long, score double, at_word long, question_overlap double, answer_overlap double"
 
 
+def bare(words: list[bytes]) -> list[bytes]:
+    """Words without the ASCII punctuation at their edges; those of punctuation alone stay."""
+    return [w.strip(EDGE) or w for w in words]
+
+
+def size_of(part: list[bytes]) -> int:
+    """Words of a gram: at most half of a short part, so that a changed word at its edge leaves the other grams."""
+    return max(1, min(GRAM, len(part) // 2))
+
+
 def grams(words: list[bytes], size: int) -> set[tuple]:
-    size = min(size, len(words))
-    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
 def parts(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -45,7 +56,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         items = [(i, t) for i, t in items if t.split()]
         split = [C.words_of(t) for _, t in items]
-        self.n, self.parts = len(items), [parts(t) for _, t in items]
+        self.n, self.parts = len(items), [tuple(map(bare, parts(t))) for _, t in items]
         counts = [Counter(w) for w in split]
         df = Counter(w for c in counts for w in c)
         self.term = {w: i for i, w in enumerate(df)}
@@ -135,11 +146,11 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int
         best[text[w], item] = max(best.get((text[w], item), (0.0, 0)), (total, -at[w]))
     out = []
     for (i, item), (total, start) in best.items():
-        near = split[i][max(0, -start - size) : -start + 2 * size]
+        near = bare(split[i][max(0, -start - size) : -start + 2 * size])
         shares = []
         for part in index.parts[item]:
-            want = grams(part, GRAM)
-            shares.append(len(want & grams(near, min(GRAM, len(part)))) / len(want) if want else 1.0)
+            want = grams(part, size_of(part))
+            shares.append(len(want & grams(near, size_of(part))) / len(want) if want else 1.0)
         if min(shares) >= OVERLAP:
             out.append((i, item, total * float(index.needs[item]), -start, *shares))
     return out

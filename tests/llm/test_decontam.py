@@ -69,3 +69,20 @@ def test_empty_sides(spark):
 def test_parts():
     assert decontam.parts(b"What is it? A cat") == ([b"what", b"is", b"it?"], [b"a", b"cat"])
     assert decontam.parts(b"a b c d e f\n") == ([b"a", b"b", b"c", b"d"], [b"e", b"f"])
+
+
+def found(items, *texts):
+    """The (text, item id) pairs of matches."""
+    index = decontam.Index([(i, t.encode()) for i, t in items])
+    return {(i, index.ids[item]) for i, item, *_ in decontam.matches(index, [t.encode() for t in texts])}
+
+
+def test_glued_and_changed_edge_words_of_short_answers():
+    items, _ = corpus()
+    question = " ".join(f"asks{i}" for i in range(20))
+    for n in range(2, 12):
+        answer = [f"tells{i}" for i in range(n)]
+        item = f"{question}\n{' '.join(answer)}."
+        texts = [f"before {item}%%% after", f"before ({question} {' '.join(answer[:-1])} changed after", f"{question} changed {' '.join(answer[1:])}", f"{question} and nothing else of it"]
+        assert found([*items, (900, item)], *texts) == {(0, 900), (1, 900), (2, 900)}
+    assert found([*items, (900, f"{question}\ntells.")], f"{question}\ntells.%%%", question) == {(0, 900)}
