@@ -1,6 +1,6 @@
 """Benchmark passages in training texts: BM25 over an inverted index of the test items, block-max WAND bounds, verified overlap.
 
-Every text is cut into windows of words that overlap by half; each window is a query, each test item a document of the index. An item is retrieved if its BM25 score is at least SHARE of the score that its own words have. Weights are divided by the item's threshold, so that a window reaches an item if the sum is 1 or more. Bounds, as in block-max WAND (Ding, Suel, Faster Top-k Document Retrieval Using Block-Max Indexes, 2011), leave out what can't reach it: first the sums of each term's largest weight within SUPER groups of items, then within blocks of BLOCK items; only blocks that pass are scored. A retrieved item counts if the text around the window holds at least OVERLAP of the word 5-grams of its question and of its answer (the part after the last question mark or line break, else the last third). Punctuation at the edges of words does not count there, and a part of fewer than 10 words has grams of half its words; of a one-word part that word itself must be there.
+Every text is cut into windows of words that overlap by half; each window is a query, each test item a document of the index. An item is retrieved if its BM25 score is at least SHARE of the score that its own words have. Weights are divided by the item's threshold, so that a window reaches an item if the sum is 1 or more. Bounds, as in block-max WAND (Ding, Suel, Faster Top-k Document Retrieval Using Block-Max Indexes, 2011), leave out what can't reach it: first the sums of each term's largest weight within SUPER groups of items, then within blocks of BLOCK items; only blocks that pass are scored. A retrieved item counts if the text around any of the windows that retrieve it holds at least OVERLAP of the word 5-grams of its question and of its answer (the part after the last question mark or line break, else the last third). Punctuation at the edges of words does not count there, and a part of fewer than 10 words has grams of half its words; of a one-word part that word itself must be there.
 
 Items come in rounds of ITEMS at most, so the index that is sent to executors has a bound; every round scans the texts. Nulls and empty texts or items match nothing; rows that repeat a doc_id with the same text give their rows once. Long texts are windows like any other. An empty table on either side gives an empty result.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +123,33 @@ def windows_of(n: int, size: int) -> list[int]:
     return list(range(0, max(1, n - size // 2), size // 2))
 
 
+def covered(words: list[bytes], spans: list[tuple[int, int]], part: list[bytes]) -> list[float]:
+    """The share of a part's grams that each span of the words holds; spans begin and end in order. One pass, however much they overlap."""
+    size, out = size_of(part), []
+    want = {g: 0 for g in grams(part, size)}
+    places: deque[tuple[int, tuple]] = deque()
+    read, held = 0, 0
+    for begin, end in spans:
+        read = max(read, begin)
+        if read <= end - size:
+            near = bare(words[read:end])
+            for k in range(len(near) - size + 1):
+                g = tuple(near[k : k + size])
+                if g in want:
+                    held += not want[g]
+                    want[g] += 1
+                    places.append((read + k, g))
+            read = end - size + 1
+        while places and places[0][0] < begin:
+            g = places.popleft()[1]
+            want[g] -= 1
+            held -= not want[g]
+        out.append(held / len(want) if want else 1.0)
+    return out
+
+
 def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int, float, float]]:
-    """(text, item's place, BM25, first word of the best window, overlaps)."""
+    """(text, item's place, BM25, first word of the best window of those that pass, overlaps)."""
     none, size = len(index.term), index.window
     get = index.term.get
     split = [C.words_of(t) for t in texts]
@@ -140,19 +165,19 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int
     first = np.zeros(terms.shape, bool)
     np.put_along_axis(first, order, np.concatenate([np.ones((len(terms), 1), bool), ranked[:, 1:] != ranked[:, :-1]], axis=1), 1)
     first &= terms < none
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    hits: dict[tuple[int, int], list[tuple[float, int]]] = {}
     at = [s for ss in starts for s in ss]
     for w, item, total in zip(*(x.tolist() for x in retrieve(index, terms, first)), strict=True):
-        best[text[w], item] = max(best.get((text[w], item), (0.0, 0)), (total, -at[w]))
+        hits.setdefault((int(text[w]), item), []).append((total, at[w]))
     out = []
-    for (i, item), (total, start) in best.items():
-        near = bare(split[i][max(0, -start - size) : -start + 2 * size])
-        shares = []
-        for part in index.parts[item]:
-            want = grams(part, size_of(part))
-            shares.append(len(want & grams(near, size_of(part))) / len(want) if want else 1.0)
-        if min(shares) >= OVERLAP:
-            out.append((i, item, total * float(index.needs[item]), -start, *shares))
+    for (i, item), windows in hits.items():
+        begins = sorted(s for _, s in windows)
+        spans = [(max(0, s - size), min(len(split[i]), s + 2 * size)) for s in begins]
+        shares = dict(zip(begins, zip(*(covered(split[i], spans, part) for part in index.parts[item]), strict=True), strict=True))
+        good = [(total, -s) for total, s in windows if min(shares[s]) >= OVERLAP]
+        if good:
+            total, start = max(good)
+            out.append((i, item, total * float(index.needs[item]), -start, *shares[-start]))
     return out
 
 
@@ -175,7 +200,7 @@ def _run(shared):
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", items_at_once: int = ITEMS) -> DataFrame:
-    """A row for each text and item that it holds: doc_id, item_id, score (BM25), at_word (where the best window begins), question_overlap, answer_overlap."""
+    """A row for each text and item that it holds: doc_id, item_id, score (BM25), at_word (where the best window that passes begins), question_overlap, answer_overlap."""
     spark = docs.sparkSession
     C.prepare(spark)
     docs, out = C.id_and_text(docs, key, text), None

@@ -86,3 +86,23 @@ def test_glued_and_changed_edge_words_of_short_answers():
         texts = [f"before {item}%%% after", f"before ({question} {' '.join(answer[:-1])} changed after", f"{question} changed {' '.join(answer[1:])}", f"{question} and nothing else of it"]
         assert found([*items, (900, item)], *texts) == {(0, 900), (1, 900), (2, 900)}
     assert found([*items, (900, f"{question}\ntells.")], f"{question}\ntells.%%%", question) == {(0, 900)}
+
+
+def test_a_scrambled_passage_does_not_hide_a_later_copy():
+    items, _ = corpus()
+    r = random.Random(9)
+    words = items[5][1].split()
+    mixed = " ".join(r.sample(words, len(words)))
+    filler = " ".join(f"fill{i}" for i in range(400))
+    assert found(items, f"{mixed} {filler} {items[5][1]} {filler}", f"{mixed} {filler}") == {(0, 5)}
+
+
+def test_covered_equals_sets():
+    r = random.Random(10)
+    for _ in range(200):
+        words, part = ([r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, n))] for n in (60, 12))
+        starts = sorted(r.randint(0, len(words)) for _ in range(6))
+        spans = [(s, min(len(words), s + 15)) for s in starts]
+        size = decontam.size_of(part)
+        want = decontam.grams(part, size)
+        assert decontam.covered(words, spans, part) == [len(want & decontam.grams(words[a:b], size)) / len(want) if want else 1.0 for a, b in spans]
