@@ -1,6 +1,6 @@
 """Benchmark passages in training texts: BM25 over an inverted index of the test items, block-max WAND bounds, verified overlap.
 
-Every text is cut into windows of words that overlap by half; each window is a query, each test item a document of the index. An item is retrieved if its BM25 score is at least SHARE of the score that its own words have. Weights are divided by the item's threshold, so that a window reaches an item if the sum is 1 or more. Bounds, as in block-max WAND (Ding, Suel, Faster Top-k Document Retrieval Using Block-Max Indexes, 2011), leave out what can't reach it: first the sums of each term's largest weight within SUPER groups of items, then within blocks of BLOCK items; only blocks that pass are scored. A retrieved item counts if the text around any of the windows that retrieve it holds at least OVERLAP of the word 5-grams of its question and of its answer (the part after the last question mark or line break, else the last third). Punctuation at the edges of words does not count there, and a part of fewer than 10 words has grams of half its words; of a one-word part that word itself must be there.
+Every text is cut into windows of words that overlap by half; each window is a query, each test item a document of the index. An item is retrieved if its BM25 score is at least SHARE of the score that its own words have. Weights are divided by the item's threshold, so that a window reaches an item if the sum is 1 or more. Bounds, as in block-max WAND (Ding, Suel, Faster Top-k Document Retrieval Using Block-Max Indexes, 2011), leave out what can't reach it: first the sums of each term's largest weight within SUPER groups of items, then within blocks of BLOCK items; only blocks that pass are scored. A retrieved item counts if the text around any of the windows that retrieve it (as many words on each side as the item has, a window's at least) holds at least OVERLAP of the word 5-grams of its question and of its answer (the part after the last question mark or line break, else the last third). Punctuation at the edges of words does not count there, and a part of fewer than 10 words has grams of half its words; of a one-word part that word itself must be there.
 
 Items come in rounds of ITEMS at most, so the index that is sent to executors has a bound; every round scans the texts. Nulls and empty texts or items match nothing; rows that repeat a doc_id with the same text give their rows once. Long texts are windows like any other. An empty table on either side gives an empty result.
 """
@@ -70,7 +70,7 @@ class Index:
         needs = [SHARE * sum(w.values()) * min(1, self.window / len(words)) for w, words in zip(weights, split, strict=True)]
         order = sorted(range(self.n), key=lambda i: needs[i])  # blocks of like thresholds have closer bounds
         self.ids, self.needs = [items[i][0] for i in order], np.array([needs[i] for i in order])
-        self.parts = [self.parts[i] for i in order]
+        self.parts, self.lengths = [self.parts[i] for i in order], [len(split[i]) for i in order]
         rows = [(t, place, w / needs[i]) for place, i in enumerate(order) for t, w in weights[i].items()]
         rows.sort()
         self.item = np.array([r[1] for r in rows], np.int64)
@@ -172,7 +172,8 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int
     out = []
     for (i, item), windows in hits.items():
         begins = sorted(s for _, s in windows)
-        spans = [(max(0, s - size), min(len(split[i]), s + 2 * size)) for s in begins]
+        reach = max(size, index.lengths[item])  # a copy of the item that the window touches lies within
+        spans = [(max(0, s - reach), min(len(split[i]), s + size + reach)) for s in begins]
         shares = dict(zip(begins, zip(*(covered(split[i], spans, part) for part in index.parts[item]), strict=True), strict=True))
         good = [(total, -s) for total, s in windows if min(shares[s]) >= OVERLAP]
         if good:

@@ -106,3 +106,12 @@ def test_covered_equals_sets():
         size = decontam.size_of(part)
         want = decontam.grams(part, size)
         assert decontam.covered(words, spans, part) == [len(want & decontam.grams(words[a:b], size)) / len(want) if want else 1.0 for a, b in spans]
+
+
+def test_long_items_copied_whole():
+    items, _ = corpus()
+    r = random.Random(11)
+    for n in (1500, 4000):
+        item = " ".join(f"long{r.randint(0, 3000)}" for _ in range(n))
+        filler = " ".join(f"fill{i}" for i in range(700))
+        assert found([*items, (900, item)], f"{filler} {item} {filler}", filler) == {(0, 900)}
