@@ -2,7 +2,7 @@
 
 Every text is cut into windows of words that overlap by half; each window is a query, each test item a document of the index. An item is retrieved if its BM25 score is at least SHARE of the score that its own words have. Weights are divided by the item's threshold, so that a window reaches an item if the sum is 1 or more. Bounds, as in block-max WAND (Ding, Suel, Faster Top-k Document Retrieval Using Block-Max Indexes, 2011), leave out what can't reach it: first the sums of each term's largest weight within SUPER groups of items, then within blocks of BLOCK items; only blocks that pass are scored. A retrieved item counts if the text around any of the windows that retrieve it (as many words on each side as the item has, a window's at least) holds at least OVERLAP of the word 5-grams of its question and of its answer (the part after the last question mark or line break, else the last third). Punctuation at the edges of words does not count there, and a part of fewer than 10 words has grams of half its words; of a one-word part that word itself must be there.
 
-Items come in rounds of ITEMS at most, so the index that is sent to executors has a bound; every round scans the texts. Nulls and empty texts or items match nothing; rows that repeat a doc_id with the same text give their rows once. Long texts are windows like any other. An empty table on either side gives an empty result.
+Items come in rounds of ITEMS at most, so the index that is sent to executors has a bound; every round scans the texts. Numbers of items by word, the mean and the longest length are those of all items, so scores don't depend on rounds. Nulls and empty texts or items match nothing; rows that repeat a doc_id with the same text give their rows once. Long texts are windows like any other. An empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,20 +53,20 @@ def parts(text: bytes) -> tuple[list[bytes], list[bytes]]:
 class Index:
     """Terms to blocks of items to items; weights are divided by the items' thresholds."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], whole: tuple[int, float, int, dict[bytes, int]] | None = None):
+        """whole: number, mean and most words, and each word's number of items, of all items where these are a part of them."""
         items = [(i, t) for i, t in items if t.split()]
         split = [C.words_of(t) for _, t in items]
         self.n, self.parts = len(items), [tuple(map(bare, parts(t))) for _, t in items]
         counts = [Counter(w) for w in split]
         df = Counter(w for c in counts for w in c)
         self.term = {w: i for i, w in enumerate(df)}
-        mean = sum(map(len, split)) / max(1, self.n)
-        longest = max(map(len, split), default=0)
+        total, mean, longest, df = whole or (self.n, sum(map(len, split)) / max(1, self.n), max(map(len, split), default=0), df)
         self.window = min(512, max(64, -(-longest // 32) * 32))
         weights = []
         for words, c in zip(split, counts, strict=True):
             k = K1 * (1 - B + B * len(words) / mean)
-            weights.append({self.term[w]: math.log(1 + (self.n - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + k) for w, n in c.items()})
+            weights.append({self.term[w]: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + k) for w, n in c.items()})
         needs = [SHARE * sum(w.values()) * min(1, self.window / len(words)) for w, words in zip(weights, split, strict=True)]
         order = sorted(range(self.n), key=lambda i: needs[i])  # blocks of like thresholds have closer bounds
         self.ids, self.needs = [items[i][0] for i in order], np.array([needs[i] for i in order])
@@ -83,9 +83,9 @@ class Index:
         self.block = self.item[self.begin] // BLOCK
         self.most = np.maximum.reduceat(self.weight, self.begin) if len(key) else np.zeros(0, np.float32)
         of = term[self.begin]
-        self.term_begin, self.term_end = np.searchsorted(of, np.arange(len(df) + 1)), np.searchsorted(of, np.arange(len(df) + 1), side="right")
+        self.term_begin, self.term_end = np.searchsorted(of, np.arange(len(self.term) + 1)), np.searchsorted(of, np.arange(len(self.term) + 1), side="right")
         self.per = -(-max(1, blocks) // SUPER)
-        self.super = np.zeros((len(df) + 1, SUPER), np.float32)
+        self.super = np.zeros((len(self.term) + 1, SUPER), np.float32)
         np.maximum.at(self.super, (of, self.block // self.per), self.most)
         self.blocks = max(1, blocks)
 
@@ -182,6 +182,16 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int
     return out
 
 
+def _words(batches):
+    """The distinct words of each item, and a row without a word that has its number of words."""
+    for batch in batches:
+        for k, text in zip(batch.column("round").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = C.words_of(text)
+            if words:
+                some = [None, *set(words)]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array([len(words)] * len(some), pa.int64())], ["round", "word", "words"])
+
+
 def _run(shared):
     def run(batches):
         index = shared.value
@@ -208,9 +218,20 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     items = C.id_and_text(items, item_key, item_text).distinct()
     n = items.count()
     rounds = -(-n // items_at_once)
+    whole = None
+    if rounds > 1:
+        scratch = C.Scratch(spark, "decontam")
+        items = scratch.write(items.withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).cast("int")), "items")
+        words = items.select("round", "text").mapInArrow(_words, "round int, word binary, words long")
+        count, total, longest = words.where("word is null").agg(F.count("*"), F.sum("words"), F.max("words")).first()
+        counts = words.where("word is not null").groupBy("word", "round").agg(F.count("*").alias("n"))
+        of_all = counts.groupBy("word").agg(F.sum("n").alias("df"), F.collect_list("round").alias("rounds"))
+        counts = scratch.write(of_all.select(F.explode("rounds").alias("round"), "word", "df"), "counts")
     for k in range(rounds):
-        some = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k) if rounds > 1 else items
-        index = Index([(r["doc_id"], bytes(r["text"])) for r in some.toLocalIterator()])
+        some = items.where(F.col("round") == k) if rounds > 1 else items
+        if rounds > 1:
+            whole = (count, (total or 0) / max(1, count), longest or 0, {bytes(r["word"]): r["df"] for r in counts.where(F.col("round") == k).toLocalIterator()})
+        index = Index([(r["doc_id"], bytes(r["text"])) for r in some.toLocalIterator()], whole)
         found = docs.mapInArrow(_run(spark.sparkContext.broadcast(index)), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return (spark.createDataFrame([], SCHEMA) if out is None else out).distinct()

@@ -115,3 +115,10 @@ def test_long_items_copied_whole():
         item = " ".join(f"long{r.randint(0, 3000)}" for _ in range(n))
         filler = " ".join(f"fill{i}" for i in range(700))
         assert found([*items, (900, item)], f"{filler} {item} {filler}", filler) == {(0, 900)}
+
+
+def test_scores_do_not_depend_on_rounds(spark):
+    items, docs = corpus()
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (900, None), (901, " ")], "item_id long, text string")
+    one, many = ({(r.doc_id, r.item_id): (round(r.score, 3), r.at_word) for r in decontam.contaminated(docs, items, items_at_once=n).collect()} for n in (20_000, 17))
+    assert one == many and len(one) == 30
