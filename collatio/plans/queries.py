@@ -153,6 +153,12 @@ def indel_ratio(spark, sf_dir):
     return rounded(x.select("model", "file", parse.ratio_udf("ref", "hyp").alias("ratio")))
 
 
+@query()
+def indel_ratio_all(spark, sf_dir):
+    """The ratio of every pair, empty and missing hypotheses included: no closed form, so no SQL."""
+    return rounded(pairs(spark, sf_dir).select("model", "file", "status", parse.ratio_udf("ref", "hyp").alias("ratio")))
+
+
 @query(SQL_PAIRS + f"SELECT 'experiment_001' AS experiment, model, file, status, rc AS reference_characters, hc AS hypothesis_characters, ce AS character_errors, round(CASE WHEN rc > 0 THEN ce / rc WHEN hc = 0 THEN 0.0 END, 6) AS cer, rn AS reference_words, hn AS hypothesis_words, we AS word_errors, round(CASE WHEN rn > 0 THEN we / rn WHEN hn = 0 THEN 0.0 END, 6) AS wer, wm AS word_matches, {SHARES.format('')}, ref = hyp AS exact_match FROM d")
 def per_file_metrics(spark, sf_dir):
     return rounded(measured(spark, sf_dir).drop(*(f"{k}_{e}" for k in ("character", "word") for e in ("substitutions", "deletions", "insertions"))))
