@@ -50,25 +50,31 @@ def compose(text: str) -> str:
     return x
 
 
-def _separator(c: str) -> bool:
-    return c.isspace() or unicodedata.category(c)[0] in "PS"
+class _Spaced(dict):
+    """A table for str.translate: characters between tokens become a space each, others stay; filled as characters are met."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = out = 32 if c.isspace() or unicodedata.category(c)[0] in "PS" else code
+        return out
+
+
+_SPACED = _Spaced()
+_TOKEN = re.compile("[^ ]+")
+
+
+def spaced(text: str) -> str:
+    """A composed text, as long as before, with a space for each character that is no part of a token."""
+    return text.translate(_SPACED)
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
     """(folded token, start, end) over a composed text; folding may lengthen a token, the offsets stay those of the text."""
-    out, start = [], None
-    for i, c in enumerate(text + " "):
-        if _separator(c):
-            if start is not None:
-                out.append((text[start:i].casefold(), start, i))
-                start = None
-        elif start is None:
-            start = i
-    return out
+    return [(m[0].casefold(), m.start(), m.end()) for m in _TOKEN.finditer(spaced(text))]
 
 
 def normalize(text: str) -> str:
-    return " ".join(t for t, _, _ in tokenize(compose(text)))
+    return " ".join(_TOKEN.findall(spaced(compose(text)).casefold()))
 
 
 @F.pandas_udf(StringType())
@@ -82,9 +88,10 @@ def tokenize_udf(text: pd.Series) -> pd.Series:
 
 
 def natural_key(name: Column) -> Column:
-    """A string that sorts as the name does with runs of digits read as numbers (of up to 20 digits) and letters in lower case."""
+    """A string that sorts as the name does with runs of digits read as numbers and letters in lower case: a number is led by its count of digits."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p))).otherwise(p)), "")
 
 
 def folder_name(model: Column) -> Column:

@@ -17,10 +17,14 @@ PER_FILE = (
 ).split()
 
 
+def _every(references: DataFrame, models: DataFrame) -> DataFrame:
+    """Each reference for each model: a model's folder is meant to have every file. The list of models is broadcast only if it was counted to be short."""
+    return references.crossJoin(F.broadcast(models) if models.limit(10_001).count() <= 10_000 else models)
+
+
 def pair(references: DataFrame, models: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """references (file, ref), models (experiment, model), hypotheses (experiment, model, file, hyp): a row for each model and reference, with status. models is a short list of folders; a model without files keeps all its references as missing."""
-    every = references.crossJoin(F.broadcast(models)) if models.limit(10_001).count() <= 10_000 else references.crossJoin(models)
-    joined = every.join(hypotheses, ["experiment", "model", "file"], "left")
+    joined = _every(references, models).join(hypotheses, ["experiment", "model", "file"], "left")
     status = F.when(F.col("hyp").isNull(), "missing_hypothesis").when(F.col("hyp") == "", "empty_hypothesis").otherwise("ok")
     return joined.select("experiment", "model", "file", "ref", F.coalesce("hyp", F.lit("")).alias("hyp"), status.alias("status"))
 
@@ -31,15 +35,31 @@ def extra(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
 
 
 def missing(references: DataFrame, models: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    return references.crossJoin(F.broadcast(models)).join(hypotheses, ["experiment", "model", "file"], "left_anti").select("experiment", "model", "file")
+    return _every(references, models).join(hypotheses, ["experiment", "model", "file"], "left_anti").select("experiment", "model", "file")
+
+
+def matched(truth: DataFrame, read: DataFrame, on: str = "document") -> DataFrame:
+    """Documents that both sides have."""
+    return read.join(truth, on)
 
 
 @F.pandas_udf(StructType([StructField(x, LongType()) for x in EDITS]))
 def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [(*kernels.edits(a, b), *kernels.edits(a.split(), b.split())) for a, b in zip(ref, hyp, strict=True)]
+    rows = [(0,) * 6 if a == b else (*kernels.edits(a, b), *kernels.edits(a.split(), b.split())) for a, b in zip(ref, hyp, strict=True)]
     return pd.DataFrame(rows, columns=EDITS, dtype="int64")
 
 
+def edits(kind: str, ref: str = "ref", hyp: str = "hyp") -> Column:
+    """Edits between two texts, in characters or words."""
+
+    @F.pandas_udf(LongType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        part = (lambda t: t) if kind == "character" else str.split
+        return pd.Series([0 if x == y else kernels.distance(part(x), part(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    return run(ref, hyp)
+
+
 def error_rate(errors: Column, reference: Column, hypothesis: Column) -> Column:
     """errors / reference; 0 for two empty texts, null if only the reference is empty. May exceed 1."""
     return F.when(reference > 0, errors / reference).when(hypothesis == 0, 0.0)
@@ -80,7 +100,7 @@ def measure(pairs: DataFrame) -> DataFrame:
 
 def statistics(name: str) -> list[Column]:
     """Mean, median, population deviation, least and most of the finite values."""
-    c = F.when(F.col(name).isNotNull() & ~F.isnan(name), F.col(name))
+    c = F.when(~F.isnan(name) & (F.abs(name) < float("inf")), F.col(name))
     return [f(c).alias(f"macro_{name}_{a}") for f, a in ((F.avg, "mean"), (F.median, "median"), (F.stddev_pop, "population_stddev"), (F.min, "min"), (F.max, "max"))]
 
 

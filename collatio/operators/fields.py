@@ -1,109 +1,232 @@
-"""Scores of fields before and after correction: keys from templates, values from dictionaries."""
+"""Scores of fields before and after correction: keys from templates, values from dictionaries.
+
+One Arrow function a document parses both sides, corrects and aligns; everything after it (flags, rates, sums) is native. Dictionaries are configuration, as templates are. Documents never meet: no shuffle before the summaries.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import edit_counts, error_rate
-from .parse import best_phrase_udf, ratio_udf
+from ..functions import kernels
+from .evaluate import error_rate
+from .parse import FIELD, GLOBAL, LOCAL, RECOVERY, Template, Templates, by_template
 
 THRESHOLD, MARGIN = 70.0, 15.0
+COUNTS = [f"{side}_{unit}s" for unit in ("char", "word") for side in ("ref", "hyp")] + [f"{unit}_{edit}" for unit in ("char", "word") for edit in ("substitutions", "deletions", "insertions")]
+COUNTED = f"struct<{','.join(f'{c}:long' for c in COUNTS)}>"
+BEST = "struct<candidate:string,score:double,second_score:double,phrase:string>"
+SIDES = f"struct<gt:{FIELD},ocr:{FIELD},key_post:string,value_post:string,whole:{BEST},region:{BEST},recovered:boolean,corrected:boolean,key_pre_counts:{COUNTED},key_post_counts:{COUNTED},value_pre_counts:{COUNTED},value_post_counts:{COUNTED}>"
+
+
+def counted(ref: str, hyp: str) -> dict[str, int]:
+    """Lengths and edit operations of two normalised texts."""
+    a, b = ref.split(), hyp.split()
+    edits = (0,) * 6 if ref == hyp else (*kernels.edits(ref, hyp), *kernels.edits(a, b))
+    return dict(zip(COUNTS, (len(ref), len(hyp), len(a), len(b), *edits), strict=True))
+
+
+class Terms:
+    """A dictionary: the best and the second term for a text, kept for texts met before. Of equals the later term in the alphabet is the better."""
+
+    def __init__(self, terms: list[str]):
+        self.terms, self.known = list(terms), {}
+
+    def _best(self, scored: list[tuple[float, str, str]]) -> dict | None:
+        first, second = (sorted(scored, reverse=True)[:2] + [None, None])[:2]
+        return first and {"candidate": first[1], "score": first[0], "second_score": second[0] if second else 0.0, "phrase": first[2]}
+
+    def whole(self, text: str) -> dict | None:
+        return self._keep(("whole", text), lambda: [(kernels.ratio(text, t), t, text) for t in self.terms])
+
+    def within(self, region: str) -> dict | None:
+        """Each term against the windows of about as many words; the first of its best windows counts."""
+        words = region.split()
+
+        def scored():
+            for t in self.terms:
+                n = len(t.split())
+                windows = [" ".join(words[i : i + k]) for k in ([1] if n == 1 else range(n - 1, n + 2)) for i in range(len(words) - k + 1)]
+                if windows:
+                    best = max(windows, key=lambda w: kernels.ratio(w, t))
+                    yield kernels.ratio(best, t), t, best
+
+        return self._keep(("within", region), scored)
+
+    def _keep(self, key: tuple[str, str], scored) -> dict | None:
+        if not key[1]:
+            return None
+        if key not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[key] = self._best(list(scored()))
+        return self.known[key]
+
+
+def accepts(best: dict | None, threshold: float, margin: float) -> bool:
+    return best is not None and best["score"] >= threshold and best["score"] - best["second_score"] >= margin
+
+
+def process(gt: dict, ocr: dict, terms: Terms | None, threshold: float, margin: float) -> dict:
+    """One field of both sides: what correction makes of key and value, and all edit counts."""
+    key, pre = ocr["key_found"], ocr["value"]
+    whole = terms.whole(pre) if terms and ocr["category"] == "dictionary" else None
+    region = terms.within(ocr["region"]) if terms and ocr["category"] == "dictionary" and ocr["key_status"] == "missing" else None
+    recovered = accepts(region, threshold, margin)
+    post = region["candidate"] if recovered else whole["candidate"] if accepts(whole, threshold, margin) else pre
+    key_post = ocr["key_text"] if key else key
+    out = {"gt": gt, "ocr": ocr, "key_post": key_post, "value_post": post, "whole": whole, "region": region, "recovered": recovered, "corrected": region["phrase"] != post if recovered else post != pre}
+    return out | {"key_pre_counts": counted(gt["key_found"], key), "key_post_counts": counted(gt["key_found"], key_post), "value_pre_counts": counted(gt["value"], pre), "value_post_counts": counted(gt["value"], post)}
+
+
+def sides(gt: Column, ocr: Column, template: Column, templates: Templates, terms: dict[str, list[str]], thresholds: tuple[float, float, float], threshold: float, margin: float) -> Column:
+    @F.pandas_udf(f"array<{SIDES}>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        compiled, dictionaries = {n: Template(f, thresholds) for n, f in templates.items()}, {n: Terms(t) for n, t in terms.items() if t}
+        for truth, read, names in batches:
+            a, b = (by_template(x.fillna("").tolist(), names.tolist(), compiled) for x in (truth, read))
+            yield pd.Series([[process(x, y, dictionaries.get(y["dictionary"]), threshold, margin) for x, y in zip(f, g, strict=True)] for f, g in zip(a, b, strict=True)], dtype=object)
+
+    return run(gt, ocr, template)
+
+
+STAGES = ("pre", "post")
+
+
+def evaluate(pairs: DataFrame, templates: Templates, terms: dict[str, list[str]], *, thresholds: tuple[float, float, float] = (GLOBAL, RECOVERY, LOCAL), threshold: float = THRESHOLD, margin: float = MARGIN, strict: bool = True) -> DataFrame:
+    """pairs: document, template, gt_text, ocr_text (documents that both sides have). A row for each document and field, before (pre) and after (post) correction.
+
+    A key that the truth itself lacks is an error of the data and ends the run, unless strict is false: guard() then lists them. Null texts are empty.
+    Columns of names without stage keep the meaning of before. Texts of corrected keys are shown only where a key was corrected.
+    """
+    x = pairs.select("document", "template", F.explode(sides(F.col("gt_text"), F.col("ocr_text"), F.col("template"), templates, terms, thresholds, threshold, margin)).alias("x"))
+    lacks = F.col("x.gt.key_status") == "missing"
+    if strict:
+        x = x.where(F.when(lacks, F.raise_error(F.concat(F.lit("the truth lacks a key: "), "document", F.lit(" "), "x.gt.key_id")).cast("boolean")).otherwise(True))
+    gt, ocr = (lambda c: F.col(f"x.gt.{c}")), (lambda c: F.col(f"x.ocr.{c}"))
+    detected, whole, back = ocr("key_status") != "missing", ocr("boundary_status") == "ok", F.col("x.recovered")
+    key_corrected = F.col("x.key_post") != ocr("key_found")
+    best = F.when(back, F.col("x.region")).otherwise(F.col("x.whole"))
+    two = lambda c: F.round(c, 2)
+    evaluable = {"pre": whole, "post": whole | back}
+    values, keys = {"pre": ocr("value"), "post": F.col("x.value_post")}, {"pre": ocr("key_found"), "post": F.col("x.key_post")}
+    key_right = {s: keys[s] == gt("key_found") for s in STAGES}
+    value_right = {s: F.when(evaluable[s], values[s] == gt("value")) for s in STAGES}
+
+    def rate(part: str, stage: str, unit: str) -> Column:
+        c = F.col(f"x.{part}_{stage}_counts")
+        errors = reduce(Column.__add__, (c[f"{unit}_{e}"] for e in ("substitutions", "deletions", "insertions")))
+        out = error_rate(errors, c[f"ref_{unit}s"], c[f"hyp_{unit}s"])
+        return out if part == "key" else F.when(evaluable[stage], out)
+
+    cols = {
+        "document": F.col("document"), "template": F.col("template"), "order": gt("field_order"), "field_id": gt("field_id"), "category": gt("category"), "key_id": gt("key_id"), "key_expected": gt("key_expected"),
+        "gt_key": gt("key_found"), "ocr_key": ocr("key_found"), **{f"ocr_key_{s}": F.when(key_corrected, keys[s]).otherwise("") for s in STAGES}, "key_status": ocr("key_status"), "key_detected": detected,
+        "key_correct": key_right["pre"], **{f"key_correct_{s}": key_right[s] for s in STAGES},
+        **{f"key_{n}{s and '_' + s}": rate("key", s or "pre", u) for s in ("", *STAGES) for n, u in (("cer", "char"), ("wer", "word"))},
+        "key_correction_applied": key_corrected, "key_correction_source": F.when(key_corrected, "template_expected").otherwise(""),
+        "gt_value": gt("value"), **{f"ocr_value_{s}": values[s] for s in STAGES}, "boundary_status": ocr("boundary_status"), **{f"value_evaluable_{s}": evaluable[s] for s in STAGES},
+        "value_source_pre": F.when(whole, "normal").otherwise("unavailable"), "value_source_post": F.when(back, "dictionary_local_recovery").when(whole, "normal").otherwise("unavailable"),
+        **{f"skip_reason_{s}": F.when(evaluable[s], "").otherwise(ocr("boundary_status")) for s in STAGES},
+        "local_recovery_applied": back, "local_recovery_region": F.when((gt("category") == "dictionary") & ~detected, ocr("region")).otherwise(""), "local_recovery_match": F.coalesce("x.region.phrase", F.lit("")), "local_recovery_candidate": F.coalesce("x.region.candidate", F.lit("")),
+        "local_recovery_score": two(F.col("x.region.score")), "local_recovery_second_score": two(F.col("x.region.second_score")), "local_recovery_margin": two(F.col("x.region.score") - F.col("x.region.second_score")),
+        **{f"value_correct_{s}": value_right[s] for s in STAGES}, **{f"field_correct_{s}": F.when(evaluable[s], key_right[s] & value_right[s]) for s in STAGES},
+        "dictionary": F.coalesce(ocr("dictionary"), F.lit("")), "correction_applied": F.col("x.corrected"), "correction_candidate": F.coalesce(best["candidate"], F.lit("")),
+        "correction_score": two(best["score"]), "correction_second_score": two(best["second_score"]), "correction_margin": two(best["score"] - best["second_score"]),
+        **{f"value_{n}_{s}": rate("value", s, u) for s in STAGES for n, u in (("cer", "char"), ("wer", "word"))},
+        **{f"_{part}_{s}": F.col(f"x.{part}_{s}_counts") for part in ("key", "value") for s in STAGES}, "_gt_key_status": gt("key_status"),
+    }
+    return x.select(*(c.alias(n) for n, c in cols.items()))
+
+
+def guard(fields: DataFrame) -> DataFrame:
+    """Keys that the ground truth itself lacks; must be empty."""
+    return fields.where("_gt_key_status = 'missing'").select("document", "key_id")
 
 
-def two_best(scored: DataFrame, by: list[str]) -> DataFrame:
-    """scored: by, term, score. Best and second best term (ties: the later term), margin; a single term has a second score of 0."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("term")))
-    top = scored.withColumn("_rank", rank).where("_rank <= 2")
-    pick = lambda c, k: F.max(F.when(F.col("_rank") == k, F.col(c)))
-    out = top.groupBy(*by).agg(pick("term", 1).alias("candidate"), pick("score", 1).alias("score"), F.coalesce(pick("score", 2), F.lit(0.0)).alias("second_score"))
-    return out.withColumn("margin", F.col("score") - F.col("second_score"))
-
-
-def gate(threshold: float = THRESHOLD, margin: float = MARGIN) -> Column:
-    return (F.col("score") >= threshold) & (F.col("margin") >= margin)
-
-
-def corrected(values: DataFrame, terms: DataFrame, by: list[str], threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """values: by, dictionary, text, is_region. The best term of the dictionary if it passes the gate; a region is searched for the term's best phrase. terms: a dictionary of fixed terms, broadcast."""
-    pairs = values.where("text <> '' and dictionary is not null").join(F.broadcast(terms), "dictionary")
-    whole = pairs.where("not is_region").select(*by, "term", ratio_udf("text", "term").alias("score"))
-    region = pairs.where("is_region").select(*by, "term", best_phrase_udf("text", "term").alias("score"))
-    return two_best(whole.unionAll(region), by).withColumn("accepted", gate(threshold, margin))
-
-
-def evaluate(truth: DataFrame, ocr: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """truth and ocr: document and the fields of parse(). A row for each document and field of both sides, before (pre) and after (post) correction. Fields whose key the truth lacks are an error of the data: see guard()."""
-    gt = truth.select("document", "key_id", F.col("key_found").alias("gt_key"), F.col("value").alias("gt_value"))
-    x = gt.join(ocr, ["document", "key_id"])
-    searched = F.col("key_status") == "missing"
-    tried = x.where("category = 'dictionary'").select("document", "key_id", "dictionary", F.when(searched, F.col("region")).otherwise(F.col("value")).alias("text"), searched.alias("is_region"))
-    x = x.join(corrected(tried, terms, ["document", "key_id"], threshold, margin), ["document", "key_id"], "left")
-    found, accepted = F.col("key_status") != "missing", F.coalesce("accepted", F.lit(False))
-    x = x.withColumn("ocr_key_pre", F.col("key_found")).withColumn("ocr_key_post", F.when(found, F.col("key_text")).otherwise(""))
-    x = x.withColumn("key_correction_applied", found & (F.col("key_found") != F.col("key_text")))
-    x = x.withColumn("ocr_value_pre", F.col("value")).withColumn("ocr_value_post", F.when(accepted, F.col("candidate")).otherwise(F.col("value")))
-    x = x.withColumn("local_recovery_applied", accepted & ~found).withColumn("correction_applied", accepted & found & (F.col("candidate") != F.col("value")))
-    x = x.withColumn("value_evaluable_pre", F.col("boundary_status") == "ok").withColumn("value_evaluable_post", (F.col("boundary_status") == "ok") | F.col("local_recovery_applied"))
-    x = x.withColumn("value_source_post", F.when(F.col("local_recovery_applied"), "dictionary_local_recovery").when(F.col("value_evaluable_pre"), "normal").otherwise("unavailable"))
-    for stage in ("pre", "post"):
-        evaluable = F.col(f"value_evaluable_{stage}")
-        key = F.col("gt_key") == F.col(f"ocr_key_{stage}")
-        value = F.when(evaluable, F.col("gt_value") == F.col(f"ocr_value_{stage}"))
-        x = x.withColumn(f"key_correct_{stage}", key).withColumn(f"value_correct_{stage}", value).withColumn(f"field_correct_{stage}", F.when(evaluable, key & value))
-        x = x.withColumn(f"_k_{stage}", edit_counts("gt_key", f"ocr_key_{stage}")).withColumn(f"_v_{stage}", edit_counts("gt_value", f"ocr_value_{stage}"))
-    for kind, name, least in (("character", "cer", F.length), ("word", "wer", lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != "")))):
-        for stage in ("pre", "post"):
-            for side, col in (("key", "_k_"), ("value", "_v_")):
-                errors = sum((F.col(f"{col}{stage}.{kind}_{e}") for e in ("deletions", "insertions")), F.col(f"{col}{stage}.{kind}_substitutions"))
-                rate = error_rate(errors, least(F.col(f"gt_{side}")), least(F.col(f"ocr_{side}_{stage}")))
-                usable = F.col(f"value_evaluable_{stage}") if side == "value" else F.lit(True)
-                x = x.withColumn(f"{side}_{kind}_errors_{stage}", F.when(usable, errors)).withColumn(f"{side}_{name}_{stage}", F.when(usable, rate))
-    x = x.withColumn("gt_value_characters", F.length("gt_value").cast("long"))
-    return x.drop("_k_pre", "_k_post", "_v_pre", "_v_post", "text", "is_region", "accepted", "value", "raw_value")
-
-
-def guard(truth: DataFrame) -> DataFrame:
-    """Keys that the ground truth itself lacks; must be empty."""
-    return truth.where("key_status = 'missing'").select("document", "key_id")
+def count(c: Column | str) -> Column:
+    return F.count_if(F.col(c) if isinstance(c, str) else c)
 
 
-def counts() -> list[Column]:
-    n = lambda c, a: F.count_if(c).alias(a)
-    out = [F.count("*").alias("fields"), n(F.col("key_status") != "missing", "keys_detected"), n(F.col("key_correct_pre"), "keys_correct_pre"), n(F.col("key_correct_post"), "keys_correct_post"), n(F.col("correction_applied"), "corrections_applied"), n(F.col("local_recovery_applied"), "local_recoveries")]
-    for s in ("pre", "post"):
-        out += [n(F.col(f"value_evaluable_{s}"), f"values_evaluable_{s}"), n(F.col(f"value_correct_{s}"), f"values_correct_{s}"), n(F.col(f"field_correct_{s}"), f"fields_correct_{s}")]
-        wrong = F.col(f"value_correct_{s}") == False  # noqa: E712  null (not evaluable) stays out
-        out += [n(wrong, f"values_wrong_{s}"), F.try_divide(F.sum(F.when(wrong, F.col(f"value_character_errors_{s}"))), F.sum(F.when(wrong, F.col("gt_value_characters")))).alias(f"wrong_value_cer_{s}")]
-    return out
+def severity(part: str, stage: str, usable: str) -> tuple[Column, Column, Column]:
+    """Number, CER and WER of items that are usable and not exact: errors of all over references of all, null over none."""
+    wrong = F.col(usable) & (F.col(f"{part}_correct_{stage}") == False)  # noqa: E712  null (not evaluable) stays out
+    total = lambda c: F.sum(F.when(wrong, F.col(f"_{part}_{stage}")[c]))
+    rates = [error_rate(sum((total(f"{u}_{e}") for e in ("deletions", "insertions")), total(f"{u}_substitutions")), total(f"ref_{u}s"), total(f"hyp_{u}s")) for u in ("char", "word")]
+    return F.count_if(wrong), *rates
 
 
-def rates(df: DataFrame) -> DataFrame:
-    """Coverage, accuracy among evaluable values, accuracy among all; null over nothing."""
-    out = [F.try_divide("keys_detected", "fields").alias("key_detection_rate")]
-    for s in ("pre", "post"):
-        out += [F.try_divide(f"values_evaluable_{s}", "fields").alias(f"coverage_{s}"), F.try_divide(f"values_correct_{s}", f"values_evaluable_{s}").alias(f"value_accuracy_{s}"), F.try_divide(f"fields_correct_{s}", "fields").alias(f"end_to_end_accuracy_{s}")]
-    return df.select("*", *out)
+def shares(df: DataFrame, **names: tuple[str, str]) -> DataFrame:
+    """df with quotients of two columns, null over nothing."""
+    return df.withColumns({n: F.try_divide(a, b) for n, (a, b) in names.items()})
 
 
 def field_summary(fields: DataFrame) -> DataFrame:
-    first = F.min_by("category", F.struct("document", "field_order")).alias("category")
-    return rates(fields.groupBy("field_id").agg(first, *counts()))
+    """By field over all templates and documents."""
+    key = severity("key", "pre", "key_detected")
+    agg = [F.min_by("category", F.struct("document", "order")).alias("category"), F.array_join(F.array_sort(F.collect_set("key_expected")), " | ").alias("key_expected"), F.array_join(F.array_sort(F.collect_set("template")), " | ").alias("templates"), F.count("*").alias("occurrences")]
+    agg += [count("key_detected").alias("key_detected"), count(~F.col("key_detected")).alias("key_missing"), count("key_correct_pre").alias("key_exact"), key[0].alias("key_non_exact_detected"), key[1].alias("key_cer_non_exact"), count("key_correction_applied").alias("key_corrections_applied")]
+    for s in STAGES:
+        n, cer, wer = severity("value", s, f"value_evaluable_{s}")
+        agg += [count(f"value_evaluable_{s}").alias(f"value_evaluable_{s}"), count(~F.col(f"value_evaluable_{s}")).alias(f"value_skipped_{s}"), count(f"value_correct_{s}").alias(f"value_exact_{s}"), n.alias(f"value_non_exact_{s}"), cer.alias(f"value_cer_non_exact_{s}"), wer.alias(f"value_wer_non_exact_{s}"), count(f"field_correct_{s}").alias(f"field_correct_{s}")]
+    agg += [count("correction_applied").alias("value_corrections_applied")]
+    out = fields.groupBy("field_id").agg(*agg).withColumn("total_corrections_applied", F.col("key_corrections_applied") + F.col("value_corrections_applied"))
+    out = out.withColumns({f"value_wer_non_exact_{s}": F.when(F.col("category") == "string", F.col(f"value_wer_non_exact_{s}")) for s in STAGES})
+    out = shares(out, key_detection_rate=("key_detected", "occurrences"), key_exact_rate=("key_exact", "occurrences"))
+    for s in STAGES:
+        out = shares(out, **{f"value_coverage_{s}": (f"value_evaluable_{s}", "occurrences"), f"value_exact_rate_{s}": (f"value_exact_{s}", f"value_evaluable_{s}"), f"field_accuracy_conditional_{s}": (f"field_correct_{s}", f"value_evaluable_{s}"), f"field_success_rate_{s}": (f"field_correct_{s}", "occurrences")})
+    return out
 
 
 def document_summary(fields: DataFrame) -> DataFrame:
-    return rates(fields.groupBy("document").agg(*counts()).drop("wrong_value_cer_pre", "wrong_value_cer_post"))
+    agg = [F.min("template").alias("template"), F.count("*").alias("fields_total"), count("key_detected").alias("keys_detected"), count(~F.col("key_detected")).alias("keys_missing"), count("key_correct_pre").alias("keys_exact"), count("key_correction_applied").alias("key_corrections_applied")]
+    for s in STAGES:
+        agg += [count(f"value_evaluable_{s}").alias(f"values_evaluable_{s}"), count(~F.col(f"value_evaluable_{s}")).alias(f"values_skipped_{s}"), count(f"value_correct_{s}").alias(f"values_exact_{s}"), count(f"field_correct_{s}").alias(f"fields_correct_{s}")]
+    out = fields.groupBy("document").agg(*agg, count("correction_applied").alias("value_corrections_applied")).withColumn("total_corrections_applied", F.col("key_corrections_applied") + F.col("value_corrections_applied"))
+    out = shares(out, key_detection_rate=("keys_detected", "fields_total"), key_exact_rate=("keys_exact", "fields_total"))
+    for s in STAGES:
+        out = shares(out, **{f"value_coverage_{s}": (f"values_evaluable_{s}", "fields_total"), f"value_exact_rate_{s}": (f"values_exact_{s}", f"values_evaluable_{s}"), f"field_accuracy_conditional_{s}": (f"fields_correct_{s}", f"values_evaluable_{s}"), f"field_success_rate_{s}": (f"fields_correct_{s}", "fields_total")})
+    return out
+
+
+REPORTED = (("dictionary", "pre"), ("dictionary", "post"), ("numeric", "pre"), ("string", "pre"))
 
 
 def category_summary(fields: DataFrame) -> DataFrame:
-    """Five rows, also over nothing: keys, dictionary before and after, numeric, string."""
-    spark = fields.sparkSession
-    scaffold = spark.createDataFrame([("key", "pre"), ("dictionary", "pre"), ("dictionary", "post"), ("numeric", "pre"), ("string", "pre")], "category string, stage string")
-    agg = fields.groupBy("category").agg(*counts())
-    side = lambda s: agg.select("category", F.lit(s).alias("stage"), F.col("fields").alias("items"), F.col(f"values_evaluable_{s}").alias("evaluable"), F.col(f"values_correct_{s}").alias("correct"), F.col(f"values_wrong_{s}").alias("wrong"), F.col(f"wrong_value_cer_{s}").alias("wrong_cer"))
-    wrong = F.col("key_correct_pre") == False  # noqa: E712
-    detected = F.col("key_status") != "missing"
-    keys = fields.agg(F.count("*").alias("items"), F.count_if(detected).alias("evaluable"), F.count_if(F.col("key_correct_pre")).alias("correct"), F.count_if(detected & wrong).alias("wrong"), F.try_divide(F.sum(F.when(detected & wrong, F.col("key_character_errors_pre"))), F.sum(F.when(detected & wrong, F.length("gt_key")))).alias("wrong_cer")).select(F.lit("key").alias("category"), F.lit("pre").alias("stage"), "*")
-    out = scaffold.join(side("pre").unionAll(side("post")).unionAll(keys), ["category", "stage"], "left")
-    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("items", "evaluable", "correct", "wrong")]
-    return out.select("category", "stage", *zero, F.try_divide("correct", "evaluable").alias("accuracy"), "wrong_cer")
+    """Five rows, also over nothing: keys, dictionary before and after, numeric, string. One pass over the fields; columns that a row hasn't are null."""
+    spark, zero = fields.sparkSession, lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    n, cer, _ = severity("key", "pre", "key_detected")
+    status = [F.count_if(F.col("key_status") == s).alias(f"items_{s}") for s in ("missing", "recovered", "local", "found")]
+    key = fields.agg(F.count("*").alias("items_total"), count("key_detected").alias("items_detected"), *status, count("key_correct_pre").alias("items_exact"), n.alias("items_non_exact"), cer.alias("cer_non_exact"))
+    key = shares(key.select(F.lit("key").alias("category"), F.lit("pre").alias("stage"), "*"), detection_rate=("items_detected", "items_total"), exact_rate=("items_exact", "items_total"))
+    agg = []
+    for s in STAGES:
+        n, cer, wer = severity("value", s, f"value_evaluable_{s}")
+        agg.append(F.struct(F.lit(s).alias("stage"), count(f"value_evaluable_{s}").alias("items_evaluated"), count(f"value_correct_{s}").alias("items_exact"), n.alias("items_non_exact"), cer.alias("cer_non_exact"), wer.alias("wer_non_exact")))
+    values = fields.groupBy("category").agg(F.count("*").alias("items_total"), F.array(*agg).alias("of")).select("category", "items_total", F.inline("of"))
+    named = spark.createDataFrame(REPORTED, "category string, stage string").join(values, ["category", "stage"], "left")
+    named = named.withColumns({c: zero(F.col(c)) for c in ("items_total", "items_evaluated", "items_exact", "items_non_exact")}).withColumn("items_skipped", F.col("items_total") - F.col("items_evaluated")).withColumn("wer_non_exact", F.when(F.col("category") == "string", F.col("wer_non_exact")))
+    return key.unionByName(shares(named, coverage=("items_evaluated", "items_total"), exact_rate=("items_exact", "items_evaluated")), allowMissingColumns=True)
+
+
+def console(fields: DataFrame) -> DataFrame:
+    """The counts that a run prints: one row."""
+    out = fields.agg(F.count_distinct("document").alias("documents"), F.count("*").alias("fields"), count("key_detected").alias("keys_detected"), count("key_correct_pre").alias("keys_exact_pre"), count("key_correct_post").alias("keys_exact_post"), count("key_correction_applied").alias("keys_corrected"), *(count(~F.col(f"value_evaluable_{s}")).alias(f"values_skipped_{s}") for s in STAGES))
+    return out.withColumns({f"{c}_percent": F.round(100 * F.try_divide(c, "fields"), 2) for c in ("keys_detected", "keys_exact_pre", "keys_exact_post")})
+
+
+def report(fields: DataFrame, *, inputs: dict[str, str], thresholds: tuple[float, float, float] = (GLOBAL, RECOVERY, LOCAL), threshold: float = THRESHOLD, margin: float = MARGIN) -> dict:
+    """Parameters, policy of metrics and the three summaries, for a report's one file (as many rows as fields, documents and categories have)."""
+    rows = lambda df, by: [r.asDict() for r in df.orderBy(*by).collect()]
+    documents = rows(document_summary(fields), ["document"])
+    names = ("global_threshold", "recovery_threshold", "local_fuzzy_threshold", "dictionary_threshold", "dictionary_margin")
+    return {
+        **inputs, "documents": len(documents), "fields": sum(d["fields_total"] for d in documents), "parameters": dict(zip(names, (*thresholds, threshold, margin), strict=True)),
+        "metric_policy": {"value_exact_rate_denominator": "evaluable_items", "error_severity_subset": "evaluable_non_exact_items_only", "error_aggregation": "micro_sum_errors_over_sum_reference_units", "missing_keys_excluded_from_key_cer_non_exact": True},
+        "key_postprocessing": {"enabled": True, "source": "template_expected", "detected_keys_only": True, "fill_missing_keys": False, "public_pre_post_text_only_when_changed": True},
+        "field_summary": rows(field_summary(fields), ["field_id"]), "document_summary": documents, "category_summary": rows(category_summary(fields), ["category", "stage"]),
+    }

@@ -4,53 +4,57 @@ from __future__ import annotations
 
 from ..operators.parse import Field
 
-#: Terms of the dictionary of faculties.
-FACULTIES = (
-    "agraria",
-    "architettura",
-    "economia",
-    "economia e commercio",
-    "farmacia",
-    "giurisprudenza",
-    "ingegneria",
-    "lettere e filosofia",
-    "magistero",
-    "medicina",
-    "medicina e chirurgia",
-    "scienze matematiche fisiche e naturali",
-    "scienze politiche",
-    "scuole di specializzazione",
-)
-#: A form of five fields.
+#: A dictionary of invented crafts; two of them are words of a third.
+CRAFTS = ("alkimador", "brindolar", "castipel", "dromiven", "fulgisto", "garnivek", "hostimar", "jurniq o temblasi", "klimbsor", "lavrinthe", "mospiglen", "mospiglen e nerdivo", "nerdivo", "zunibeka")
+NESTED = ("mospiglen e nerdivo",)
+#: A form of six fields.
 FORM = [
-    Field(1, "k1", "Cognome e nome", "global", "fuzzy", "name", "string"),
-    Field(2, "k2", "Nato il", "global", "fuzzy", "born", "numeric"),
-    Field(3, "k3", "a", "local", "exact", "place", "string"),
-    Field(4, "k4", "Facoltà", "global", "fuzzy", "faculty", "dictionary", "faculties"),
-    Field(5, "k5", "Matricola N", "global", "fuzzy", "number", "numeric"),
+    Field(1, "k1", "Name of owner", "global", "fuzzy", "name", "string"),
+    Field(2, "k2", "Made on", "global", "fuzzy", "made", "numeric", format_hint="day month year"),
+    Field(3, "k3", "in", "local", "exact", "place", "string"),
+    Field(4, "k4", "Kind of craft", "global", "fuzzy", "craft", "dictionary", "crafts"),
+    Field(5, "k5", "Sealed by", "local", "fuzzy", "seal", "string"),
+    Field(6, "k6", "Entry number", "global", "fuzzy", "number", "numeric"),
 ]
-TERM = "CASE c_custkey % 14 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(FACULTIES)) + " END"
 
-#: Reference (normalised: letters, digits and single spaces) and four models' texts for each part.
+
+def as_yaml(name: str, documents: list[str], fields: list[Field]) -> str:
+    """A template as its file has it."""
+    lines = ["template:", f"  id: {name}", f"  documents: [{', '.join(documents)}]", "  fields:"]
+    for f in fields[::-1]:
+        lines += [f"    - order: {f.order}", f"      key: {{id: {f.key_id}, text: '{f.key_text}', detection: {{scope: {f.scope}, match: {f.match}}}}}"]
+        lines += [f"      value: {{id: {f.field_id}, category: {f.category}" + (f", dictionary: {f.dictionary}" if f.dictionary else "") + "}"]
+    return "\n".join(lines) + "\n"
+
+
+TERM = "CASE c_custkey % 14 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(CRAFTS)) + " END"
+
+#: Reference (normalised: letters, digits and single spaces) and four models' texts for each document's first characters. Spark has no flags in regexp_replace: view() takes ", 'g'" out.
 PAIRS = """
-SELECT m.model, concat('p', CAST(p_partkey AS STRING)) AS file, r AS ref,
-  CASE WHEN p_partkey % 7 = 3 THEN NULL WHEN p_partkey % 11 = 5 THEN ''
+SELECT m.model, concat('d', CAST(doc_id AS STRING)) AS file, r AS ref,
+  CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 11 = 5 THEN ''
     WHEN m.model = 'm_exact' THEN r
     WHEN m.model = 'm_ocr' THEN translate(r, 'lo', '10')
-    WHEN m.model = 'm_drop' THEN replace(r, 'brand ', '')
+    WHEN m.model = 'm_drop' THEN concat(split_part(r, ' ', 1), substr(r, length(split_part(r, ' ', 1)) + length(split_part(r, ' ', 2)) + 2))
     ELSE concat('new ', r, ' e') END AS hyp
-FROM (SELECT p_partkey, lower(concat(p_name, ' ', replace(p_brand, '#', ' '), ' ', p_type, ' ', CAST(p_size AS STRING), ' brand')) AS r FROM part) p
+FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(coalesce(text, ''), 1, 240), '[^A-Za-z0-9]+', ' ', 'g')), ' +', ' ', 'g')) AS r FROM documents) p
 CROSS JOIN (SELECT 'm_exact' AS model UNION ALL SELECT 'm_ocr' UNION ALL SELECT 'm_drop' UNION ALL SELECT 'm_more') m
 """
 
-#: Filled forms: kind 1 misspells a key, 2 lacks one, 3 misspells the term, 4 the number; others are clean.
+#: Names of parts and what two readers made of them: short texts whose similarity is compared letter by letter.
+NAMES = """
+SELECT concat('p', CAST(p_partkey AS STRING)) AS name, k AS reading, a, CASE WHEN k = 1 THEN translate(a, 'lo', '10') WHEN p_partkey % 5 = 0 THEN '' ELSE concat(substr(a, 4), ' ', substr(a, 1, 9)) END AS b
+FROM (SELECT p_partkey, lower(concat(p_name, ' ', p_type)) AS a FROM part) p CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) m
+"""
+
+#: Filled forms: kind 1 misspells a key, 2 lacks one, 3 misspells the term, 4 the number, 5 a local key; others are clean.
 FORMS = f"""
-SELECT concat('c', CAST(c_custkey AS STRING)) AS document, c_custkey % 10 AS kind, term, name, born, place, number,
-  concat('Cognome e nome ', c_name, ' Nato il ', born, ' a ', place, ' Facoltà ', term, ' Matricola N ', number) AS gt_text,
-  concat('Cognome e nome ', c_name, CASE WHEN c_custkey % 10 = 1 THEN ' Nafo il ' ELSE ' Nato il ' END, born, ' a ', place, CASE WHEN c_custkey % 10 = 2 THEN ' ' ELSE ' Facoltà ' END,
-    CASE WHEN c_custkey % 10 = 3 THEN replace(term, 'i', 'j') ELSE term END, ' Matricola N ', CASE WHEN c_custkey % 10 = 4 THEN concat('9', number) ELSE number END) AS ocr_text
-FROM (SELECT c_custkey, c_name, replace(lower(c_name), '#', ' ') AS name, {TERM} AS term, concat(CAST(10 + c_custkey % 19 AS STRING), ' 0', CAST(1 + c_custkey % 9 AS STRING), ' 19', CAST(10 + c_custkey % 90 AS STRING)) AS born,
-  lower(replace(n_name, '_', ' ')) AS place, CAST(100000 + c_custkey AS STRING) AS number FROM customer JOIN nation ON c_nationkey = n_nationkey) x
+SELECT concat('c', CAST(c_custkey AS STRING)) AS document, c_custkey % 10 AS kind, term, name, made, place, seal, number,
+  concat('Name of owner: ', c_name, '. Made on ', made, ' in ', place, ', Kind of craft ', term, '; Sealed by ', seal, ' Entry number ', number, '.') AS gt_text,
+  concat('Name of owner: ', c_name, CASE WHEN c_custkey % 10 = 1 THEN '. Mafe on ' ELSE '. Made on ' END, made, ' in ', place, CASE WHEN c_custkey % 10 = 2 THEN ' ' ELSE ', Kind of craft ' END,
+    CASE WHEN c_custkey % 10 = 3 THEN replace(term, 'i', 'j') ELSE term END, CASE WHEN c_custkey % 10 = 5 THEN '; Sealid by ' ELSE '; Sealed by ' END, seal, ' Entry number ', CASE WHEN c_custkey % 10 = 4 THEN concat('9', number) ELSE number END, '.') AS ocr_text
+FROM (SELECT c_custkey, c_name, replace(lower(c_name), '#', ' ') AS name, {TERM} AS term, concat(CAST(10 + c_custkey % 19 AS STRING), ' 0', CAST(1 + c_custkey % 9 AS STRING), ' 19', CAST(10 + c_custkey % 90 AS STRING)) AS made,
+  lower(replace(n_name, '_', ' ')) AS place, lower(c_mktsegment) AS seal, CAST(100000 + c_custkey AS STRING) AS number FROM customer JOIN nation ON c_nationkey = n_nationkey) x
 """
 
 RUNS = """

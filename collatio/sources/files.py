@@ -63,6 +63,14 @@ def models(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "experiment string, model string")
 
 
+def experiments(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the folders under a run's output; none yet is no error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{root}/*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return spark.createDataFrame(sorted((x.getPath().getName(),) for x in found if x.isDirectory()), "folder string")
+
+
 def images(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """Images in natural order of their names."""
     if limit is not None and limit < 1:
@@ -83,8 +91,14 @@ def image_payload(spark: SparkSession, folder: str) -> DataFrame:
 def template(data: dict) -> tuple[str, list[str], list[Field]]:
     """Id, documents and fields of a template as loaded from YAML."""
     t = data["template"]
-    fields = [Field(f["order"], f["key"]["id"], f["key"]["text"], f["key"]["detection"]["scope"], f["key"]["detection"]["match"], f["value"]["id"], f["value"]["category"], f["value"].get("dictionary")) for f in t["fields"]]
-    return t["id"], list(t["documents"]), sorted(fields, key=lambda f: f.order)
+    fields = [Field(f["order"], f["key"]["id"], f["key"]["text"], f["key"]["detection"]["scope"], f["key"]["detection"].get("match", "fuzzy"), f["value"]["id"], f["value"]["category"], f["value"].get("dictionary"), f["value"].get("format_hint")) for f in t["fields"]]
+    return t["id"], list(t.get("documents", [])), sorted(fields, key=lambda f: f.order)
+
+
+def template_fields(spark: SparkSession, found: list[tuple[str, list[str], list[Field]]]) -> DataFrame:
+    """A row for each field of each template, with how many documents the template has."""
+    rows = [(name, len(documents), f.order, f.key_id, f.key_text, f.scope, f.match, f.field_id, f.category, f.dictionary) for name, documents, fields in found for f in fields]
+    return spark.createDataFrame(rows, "template string, documents long, order int, key_id string, key_text string, scope string, match string, field_id string, category string, dictionary string")
 
 
 def _yaml(spark: SparkSession, pattern: str) -> list[tuple[str, dict]]:
@@ -94,6 +108,14 @@ def _yaml(spark: SparkSession, pattern: str) -> list[tuple[str, dict]]:
     return [(r["path"], yaml.safe_load(r["text"])) for r in rows]
 
 
+def terms_of(dictionaries: DataFrame) -> dict[str, list[str]]:
+    """Dictionaries as functions take them: configuration, a row for each term."""
+    out: dict[str, list[str]] = {}
+    for r in dictionaries.collect():
+        out.setdefault(r["dictionary"], []).append(r["term"])
+    return out
+
+
 def templates(spark: SparkSession, folder: str) -> list[tuple[str, list[str], list[Field]]]:
     return [template(data) for _, data in _yaml(spark, f"{folder}/template*.yaml")]
 
@@ -109,9 +131,13 @@ def dictionaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "dictionary string, term string")
 
 
+#: Documents named by templates that are broadcast; more are joined by a shuffle.
+ASSIGNED = 1_000_000
+
+
 def assign(documents: DataFrame, found: list[tuple[str, list[str], list[Field]]]) -> DataFrame:
     """documents (document, ...) with the first template that lists them; none is an error of that row."""
     rows = [(d, i, name) for i, (name, documents_of, _) in enumerate(found) for d in documents_of]
     table = documents.sparkSession.createDataFrame(rows, "document string, place int, template string").groupBy("document").agg(F.min_by("template", "place").alias("template"))
-    joined = documents.join(F.broadcast(table), "document", "left")
+    joined = documents.join(F.broadcast(table) if len(rows) <= ASSIGNED else table, "document", "left")
     return joined.withColumn("template", F.coalesce("template", F.raise_error(F.concat(F.lit("no template for "), "document")).cast("string")))

@@ -1,10 +1,39 @@
-"""Tables of results as CSV and JSON."""
+"""Tables of results as CSV, JSON and Parquet, and the reports of runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
+BOM = "﻿"
+#: What normalisation does and what the measures mean, as the reports say it.
+RULES = {
+    "unicode": "NFC",
+    "case": "casefold",
+    "line_breaks_and_whitespace": "replace with spaces and collapse",
+    "punctuation_and_symbols": "replace with spaces",
+    "accents": "preserved",
+    "numbers": "preserved",
+    "word_order": "preserved",
+    "unclear_tag": "remove markup and preserve enclosed text",
+    "gap_and_illegible_tags": "remove",
+}
+DEFINITIONS = {
+    "cer": "character_errors / reference_characters",
+    "wer": "word_errors / reference_words",
+    "word_precision": "word_matches / hypothesis_words",
+    "word_recall": "word_matches / reference_words",
+    "word_f1": "2 * word_matches / (reference_words + hypothesis_words)",
+    "missing_hypothesis": "evaluated as an empty hypothesis",
+    "empty_reference": "per-file rate is 0 only when hypothesis is also empty; otherwise null",
+    "cer_wer_can_exceed_one": True,
+}
+
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """Doubles rounded, as tables for readers have them; nothing computes on from here."""
@@ -15,11 +44,17 @@ def public(df: DataFrame) -> DataFrame:
     return df.select(*(c for c in df.columns if not c.startswith("_")))
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, by: list[str] | None = None) -> None:
-    """A folder of CSV files with a header: fixed columns, nulls blank. by: a folder for each value."""
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, by: list[str] | None = None, bom: bool = False) -> bool:
+    """A folder of CSV files with a header: fixed columns, nulls blank, private columns left out. by: a folder for each value. bom: a byte order mark before each header. Without rows nothing is written (false)."""
     out = rounded(public(df) if columns is None else df.select(*columns))
+    if out.isEmpty():
+        return False
+    if bom:
+        first = next(c for c in out.columns if c not in (by or []))
+        out = out.withColumnRenamed(first, BOM + first)
     writer = out.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "")
     (writer.partitionBy(*by) if by else writer).csv(path)
+    return True
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None, append: bool = False) -> None:
@@ -27,11 +62,47 @@ def write_json(df: DataFrame, path: str, by: list[str] | None = None, append: bo
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
-def write_texts(df: DataFrame, path: str) -> None:
-    """Normalised texts, by experiment and model."""
-    df.write.mode("overwrite").partitionBy("experiment", "model").parquet(path)
+def write_texts(df: DataFrame, path: str, clean: bool = True) -> None:
+    """Normalised texts, by experiment and model. clean: what an earlier run left goes first; else only the folders that are written again."""
+    writer = df.write.partitionBy("experiment", "model").mode("overwrite")
+    writer.option("partitionOverwriteMode", "static" if clean else "dynamic").parquet(path)
 
 
 def report(df: DataFrame) -> DataFrame:
     """One row of JSON with all rows of a small summary."""
     return df.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("rows"), F.count("*").alias("n"))).alias("report"))
+
+
+def pretty(spark: SparkSession, data: dict, path: str) -> None:
+    """A dict as one JSON file for people."""
+    shared.write_text(spark, path, json.dumps(data, ensure_ascii=False, indent=2, default=str) + "\n")
+
+
+def _now() -> str:
+    return datetime.now(UTC).isoformat()
+
+
+def normalized_models(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """By experiment and model that has files: how many, the references it lacks, the files that no reference has. Names only, and only the differing ones are gathered."""
+    have = hypotheses.select("experiment", "model", "file").distinct()
+    counted = have.groupBy("experiment", "model").agg(F.count("*").alias("normalized_files"))
+    names = references.select("file").distinct()
+    lacks = counted.select("experiment", "model").crossJoin(names).join(have, ["experiment", "model", "file"], "left_anti").groupBy("experiment", "model").agg(F.array_sort(F.collect_list("file")).alias("missing_ground_truth_files"))
+    extra = have.join(names, "file", "left_anti").groupBy("experiment", "model").agg(F.array_sort(F.collect_list("file")).alias("extra_output_files"))
+    none = F.array().cast("array<string>")
+    out = counted.join(lacks, ["experiment", "model"], "left").join(extra, ["experiment", "model"], "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("missing_ground_truth_files", "extra_output_files")})
+
+
+def normalization_report(references: DataFrame, hypotheses: DataFrame, *, sources: dict[str, str], destinations: dict[str, str]) -> dict:
+    models = normalized_models(references, hypotheses).orderBy("experiment", "model").collect()  # a row for each folder of a model
+    return {"created_at_utc": _now(), "sources": sources, "destinations": destinations, "normalization_rules": RULES, "reference_files": references.select("file").distinct().count(), "models": [r.asDict() for r in models]}
+
+
+def metrics_report(files: DataFrame, summaries: DataFrame, extra: DataFrame, *, inputs: dict[str, str], outputs: dict[str, str]) -> dict:
+    """files: a row for each pair; summaries: by model; extra: files of hypotheses without a reference."""
+    extras = extra.groupBy("experiment", "model").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("experiment", "model").collect()
+    return {
+        "created_at_utc": _now(), "evaluation_mode": "normalized", "inputs": inputs | {"reference_files": files.select("file").distinct().count()}, "outputs": outputs, "definitions": DEFINITIONS,
+        "model_summaries": [r.asDict() for r in rounded(summaries).orderBy("experiment", "model").collect()], "extra_output_files": [r.asDict() for r in extras], "status_counts": {r["status"]: r["count"] for r in files.groupBy("status").count().collect()},
+    }

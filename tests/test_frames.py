@@ -1,10 +1,12 @@
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from collatio.functions import text as T
-from collatio.operators import evaluate, fields, runs
+from collatio.operators import evaluate, fields, parse, runs
 from collatio.sources import files, sinks
 from collatio.streaming.resume import normalize_new
 
@@ -73,31 +75,134 @@ def test_rates(spark):
     assert plan.count("ArrowEvalPython") <= 2
 
 
-def test_two_best_and_gate(spark):
-    scored = spark.createDataFrame([(1, "a", 90.0), (1, "b", 90.0), (2, "a", 71.0)], "id int, term string, score double")
-    got = {r.id: r for r in fields.two_best(scored, ["id"]).withColumn("ok", fields.gate()).collect()}
-    assert (got[1].candidate, got[1].margin, got[1].ok) == ("b", 0.0, False)
-    assert (got[2].second_score, got[2].ok) == (0.0, True)
+FIELDS = [parse.Field(1, "k1", "Nome", "global", "fuzzy", "name", "string"), parse.Field(2, "k2", "Corso", "global", "fuzzy", "course", "dictionary", "courses"), parse.Field(3, "k3", "Anno", "global", "fuzzy", "year", "numeric")]
+
+
+def test_recovery_counts_as_a_correction(spark):
+    gt = "Nome anna Corso agraria Anno 3"
+    pairs = spark.createDataFrame([("a", "t", gt, "Nome anna agrarja Anno 3"), ("b", "t", gt, "Nome anna agraria Anno 3"), ("c", "t", gt, "Nome anna Corso agrarja Anno 4"), ("d", "t", gt, None), ("e", "t", gt, "Nome anna xyz Anno 3")], "document string, template string, gt_text string, ocr_text string")
+    x = fields.evaluate(pairs, {"t": FIELDS}, {"courses": ["agraria", "farmacia"]})
+    got = {r.document: r for r in x.where("field_id = 'course'").collect()}
+    of = lambda r: (r.local_recovery_applied, r.correction_applied, r.local_recovery_match, r.ocr_value_post, r.value_source_post, r.skip_reason_pre, r.skip_reason_post)
+    assert of(got["a"]) == (True, True, "agrarja", "agraria", "dictionary_local_recovery", "key_missing", "")
+    assert of(got["b"]) == (True, False, "agraria", "agraria", "dictionary_local_recovery", "key_missing", "")
+    assert of(got["c"]) == (False, True, "", "agraria", "normal", "", "") and got["c"].local_recovery_region == ""
+    assert of(got["d"])[:2] == (False, False) and of(got["d"])[4:] == ("unavailable", "key_missing", "key_missing")
+    assert got["e"].local_recovery_region == "anna xyz" and not got["e"].local_recovery_applied and got["e"].value_correct_post is None
+    assert (got["c"].value_correct_pre, got["c"].value_correct_post, got["a"].value_correct_pre) == (False, True, None)
+    summary = {r.field_id: r for r in fields.field_summary(x).collect()}
+    assert summary["course"].value_corrections_applied == 2 and summary["course"].value_wer_non_exact_pre is None
+    rows = {(r.category, r.stage): r for r in fields.category_summary(x).collect()}
+    assert len(rows) == 5 and rows["numeric", "pre"].items_non_exact == 1 and rows["key", "pre"].items_missing == 6
+    nothing = fields.category_summary(x.limit(0)).collect()
+    assert len(nothing) == 5 and all(r.items_total == 0 and r.exact_rate is None for r in nothing)
+
+
+def test_a_truth_without_a_key_ends_the_run(spark):
+    pairs = spark.createDataFrame([("a", "t", "Nome anna Anno 3", "Nome anna Anno 3")], "document string, template string, gt_text string, ocr_text string")
+    with pytest.raises(Exception, match="the truth lacks a key: a k2"):
+        fields.evaluate(pairs, {"t": FIELDS}, {}).collect()
+    assert [tuple(r) for r in fields.guard(fields.evaluate(pairs, {"t": FIELDS}, {}, strict=False)).collect()] == [("a", "k2")]
+
+
+def test_several_templates(spark):
+    df = spark.createDataFrame([("Nome x Anno 3", "t"), ("Anno 5", "u"), (None, "u")], "text string, template string")
+    out = [[(f.key_id, f.key_status) for f in r[0]] for r in df.select(parse.parsed(F.col("text"), {"t": FIELDS, "u": FIELDS[2:]}, template=F.col("template"))).collect()]
+    assert out == [[("k1", "found"), ("k2", "missing"), ("k3", "found")], [("k3", "found")], [("k3", "missing")]]
+    with pytest.raises(Exception, match="no template"):
+        df.select(parse.parsed(F.col("text"), {"t": FIELDS}, template=F.col("template"))).collect()
 
 
 def test_calls_are_logged(spark):
     def client():
-        def ask(model, image, content):
-            if image == "bad.png":
+        def ask(model, prompt, content):
+            if content == b"bad":
                 raise TimeoutError("slow")
-            return {"message": {"content": "a\nb"}, "total_duration": 1_500_000_000, "load_duration": "?"} if image != "odd.png" else {"message": {}}
+            return {"message": {"content": "a\nb"}, "total_duration": 1_500_000_000, "load_duration": "?"} if content != b"odd" else {"message": {}}
 
         return ask
 
-    work = spark.createDataFrame([("m", f"{n}.png", bytearray(b"x")) for n in ("ok", "bad", "odd")], "model string, image string, content binary")
+    work = spark.createDataFrame([("m", f"{n}.png", "p", bytearray(n.encode())) for n in ("ok", "bad", "odd")], "model string, image string, prompt string, content binary")
     got = {r.image: r for r in runs.transcribe(work, client, 3).collect()}
     assert (got["ok.png"].lines, got["ok.png"].total_duration_seconds, got["ok.png"].load_duration_seconds, got["ok.png"].output_file) == (2, 1.5, None, "ok.txt")
     assert got["bad.png"].error == "TimeoutError: slow" and got["odd.png"].status == "error"
 
 
+class Server(BaseHTTPRequestHandler):
+    seen: list = []
+
+    def answer(self, status, data):
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(data)
+
+    def do_GET(self):
+        self.answer(200, b'{"models": [{"name": "m"}, {"name": 3}, {"name": "a"}]}')
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.seen.append((self.path, asked))
+        if self.path == "/api/generate":
+            self.answer(500, b"no")
+        elif asked["messages"][0]["images"] == ["YmFk"]:
+            self.answer(503, b"busy")
+        elif asked["messages"][0]["images"] == ["b2Rk"]:
+            self.answer(200, b"<html>")
+        else:
+            self.answer(200, b'{"message": {"content": " seen\\r\\n"}, "eval_count": 2}')
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def server():
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    Server.seen.clear()
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_address[1]}"
+    s.shutdown()
+
+
+def test_client(server):
+    c = runs.HttpClient(server)
+    assert c.installed() == ["a", "m"]
+    assert runs.text_of(c("m", "read", b"ok")) == " seen\r\n"
+    asked = Server.seen[0][1]
+    assert asked["options"] == {"temperature": 0, "seed": 42, "num_ctx": 8192, "num_predict": 4096} and asked["stream"] is False and asked["messages"][0]["content"] == "read"
+    for image, told in ((b"bad", "HTTP 503: busy"), (b"odd", "isn't JSON: <html>")):
+        with pytest.raises(runs.CallError, match=told):
+            c("m", "read", image)
+    c.close()
+    assert Server.seen[-1] == ("/api/generate", {"model": "m", "prompt": "", "stream": False, "keep_alive": 0})
+    with pytest.raises(runs.CallError, match="can't be reached"):
+        runs.HttpClient("http://127.0.0.1:9").installed()
+    with pytest.raises(runs.CallError, match="no text"):
+        runs.text_of({"message": None})
+
+
+def test_whole_run(spark, server, tmp_path):
+    (tmp_path / "scans").mkdir()
+    for n in ("a1", "a2", "a10"):
+        (tmp_path / f"scans/{n}.png").write_bytes(b"bad" if n == "a2" else b"ok")
+    go = lambda **k: runs.run(spark, **({"image_dir": str(tmp_path / "scans"), "output_dir": str(tmp_path / "out"), "models": ["m", "a"], "client": lambda: runs.HttpClient(server), "installed": ["m", "a"], "default_prompt": "read"} | k))
+    assert go() == (2, {"completed": 4, "skipped": 0, "errors": 2})
+    out = tmp_path / "out/experiment_001"
+    assert (out / "m/a10.txt").read_bytes() == b" seen\r\n" and (out / "a/prompt.txt").read_text() == "read" and not (out / "m/a2.txt").exists()
+    saved = json.loads((out / "experiment.json").read_text())
+    assert (saved["status"], saved["images"], saved["summary"]["errors"]) == ("completed_with_errors", ["a1.png", "a2.png", "a10.png"], 2)
+    (tmp_path / "scans/a2.png").write_bytes(b"ok")
+    assert go(experiment=1) == (0, {"completed": 2, "skipped": 4, "errors": 0})
+    assert go(experiment=1, overwrite=True) == (0, {"completed": 6, "skipped": 0, "errors": 0})
+    assert go(experiment=1, default_prompt="other")[0] == 2 and go(experiment=1, limit=1)[0] == 1 and go(experiment=0)[0] == 1
+    assert go(models=["z"])[0] == 1 and go(image_dir=str(tmp_path / "none"))[0] == 1
+    assert go()[0] == 0 and (tmp_path / "out/experiment_002").exists()
+
+
 def test_manifests(spark):
     saved = {"image_directory": "x", "images": ["a", "b"], "parameters": runs.DEFAULTS, "description": ""}
-    assert runs.differences(saved, saved) == [] and runs.differences(saved, saved | {"images": ["b", "a"]}) == ["images"]
+    assert runs.differences(saved, saved) == [] and runs.differences(saved, saved | {"images": ["b", "a"], "description": "x"}) == ["images"]
+    assert runs.differences(saved | {"description": "y"}, saved | {"description": "x"}) == ["description"]
     folders = spark.createDataFrame([("experiment_007",), ("experiment_1000",), ("experiment_x",)], "folder string")
     assert runs.next_experiment(folders).first()[0] == 1001 and runs.next_experiment(folders.limit(0)).first()[0] == 1
     names = spark.createDataFrame([("gemma4:31b x",)], "m string").select(T.folder_name(F.col("m")), T.experiment_name(F.lit(1234)), T.seconds(F.lit("no")), runs.prompt(F.col("m"), {"gemma4:31b x": "p"}, "d")).first()
@@ -106,6 +211,9 @@ def test_manifests(spark):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1 / 3, None, 1)], "d string, x double, y string, _z int")
+    assert not sinks.write_csv(df.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    assert sinks.write_csv(df, str(tmp_path / "b"), bom=True)
+    assert {f.read_bytes()[:5] for f in (tmp_path / "b").glob("*.csv")} == {b"\xef\xbb\xbfd,"}
     sinks.write_csv(df, str(tmp_path / "c"), by=["d"])
     back = spark.read.option("header", True).csv(str(tmp_path / "c"))
     assert set(back.columns) == {"d", "x", "y"} and back.first()["x"] == "0.33333333"
@@ -124,3 +232,27 @@ def test_stream_takes_files_once(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == i + 1
     go()
     assert {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a b"}
+
+
+def test_command_line(spark, tmp_path):
+    from collatio.__main__ import main
+
+    (tmp_path / "templates").mkdir()
+    (tmp_path / "templates/template1.yaml").write_text(TEMPLATE)
+    (tmp_path / "templates/dictionaries.yaml").write_text("names: [anna, marta]\n")
+    for folder, name in (("gt", "Anna"), ("out/experiment_001/m", "Amna")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "d1.txt").write_text(f"Nome {name} Nato il 3-4")
+    (tmp_path / "gt/d2.txt").write_text("Nome Marta Nato il 5")
+    at = lambda p: str(tmp_path / p)
+    assert main(["normalize", "--references", at("gt"), "--hypotheses", at("out"), "--output", at("normal")], spark) == 0
+    told = json.loads((tmp_path / "normal/normalization_report.json").read_text())
+    assert told["models"] == [{"experiment": "experiment_001", "model": "m", "normalized_files": 1, "missing_ground_truth_files": ["d2.txt"], "extra_output_files": []}]
+    assert main(["evaluate", "--normalized", at("normal"), "--output", at("metrics")], spark) == 0
+    assert json.loads((tmp_path / "metrics/metrics_report.json").read_text())["status_counts"] == {"ok": 1, "missing_hypothesis": 1}
+    assert main(["parse", at("gt"), "--templates", at("templates"), "--output", at("parsed")], spark) == 0
+    assert spark.read.json(at("parsed")).count() == 2
+    assert main(["fields", at("out/experiment_001/m"), "--gt-dir", at("gt"), "--templates", at("templates"), "--output", at("results"), "--dictionary-margin", "10"], spark) == 0
+    assert json.loads((tmp_path / "results/report.json").read_text())["field_summary"][1]["value_corrections_applied"] == 1
+    assert spark.read.option("header", True).csv(at("results/documents")).count() == 2
+    assert main(["parse", at("none"), "--templates", at("templates"), "--output", at("x")], spark) == 1
