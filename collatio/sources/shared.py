@@ -44,6 +44,13 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Makes a folder that is deleted when the driver ends."""
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file of the driver's, as it is, in the place of an older one."""
     fs, p = _path(spark, path)
