@@ -17,8 +17,8 @@ PAIRS = ("  ", "\n ", "\n\n", " \n")
 
 
 def keys(text: str) -> list[str]:
-    """The chunks of a text by key: most texts have single spaces and line feeds only, there a word stands for itself after a space; other chunks begin with a line feed or are marked."""
-    if any(p in text for p in PAIRS) or any(c in text for c in OTHER):
+    """The chunks of a text by key: most texts have single spaces and line feeds only, there a word stands for itself after a space; other chunks begin with a line feed or are marked by U+0000. A text that has that character itself has marked chunks only."""
+    if "\0" in text or any(p in text for p in PAIRS) or any(c in text for c in OTHER):
         return ["\0" + c for c in CHUNK.findall(text)]
     out: list[str] = []
     first = "\0"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 import numpy as np
@@ -10,38 +9,34 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; whole texts travel in them, so that batches stay small.
-BATCH_ROWS = 512
+from ..sources.shared import delete, delete_at_end, new_folder
 
+#: Rows and bytes of an Arrow batch; whole texts travel in them, so that batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
-def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small. A setting of the session's user stays."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
+def prepare(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small, for this session from now on: a frame is planned when it is run, so its settings can't end with the call that made it. A setting of the session's user stays."""
+    for name, usual, small in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", small)
 
-_OWN: list[str] = []
 
+class Scratch:
+    """Tables that cut lineage, in the shared folder. A lost executor costs the tasks that ran on it, never a table. The folder goes when the session's driver ends, or earlier by close() (or as a context manager), where the result has been taken."""
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Where it is unset (tests, one machine), an own one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN:
-            import shutil
-            import tempfile
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_folder(spark, name)
+        delete_at_end(spark, self.path)
 
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="collatio-"))
-            atexit.register(shutil.rmtree, _OWN[0][7:], True)
-        root = _OWN[0]
-    return root.rstrip("/")
+    def __enter__(self) -> Scratch:
+        return self
 
+    def __exit__(self, *_) -> None:
+        self.close()
 
-class Scratch:
-    """Tables that cut lineage, in the shared folder. A lost executor costs the tasks that ran on it, never a table."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{checkpoint_root(spark)}/collatio/{name}-{uuid.uuid4().hex}"
+    def close(self) -> None:
+        delete(self.spark, self.path)
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -53,6 +48,12 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
 
+def own(*names: str) -> list[str]:
+    """Names of columns that no input has."""
+    tag = uuid.uuid4().hex
+    return [f"{n}_{tag}" for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -105,8 +105,8 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def repetition(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_covered: float = COVERED, max_longest: float = LONGEST) -> DataFrame:
-    """Per row of docs: doc_id, the counts of NAMES (long), base_failed, kept (boolean)."""
+    """Per row of docs: doc_id, the first five counts of NAMES (long), base_failed, kept (boolean), the other counts."""
     C.prepare(docs.sparkSession)
     out = C.id_and_text(docs, key, text).mapInArrow(_run, "doc_id long, " + ", ".join(f"{x} long" for x in NAMES))
     base = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
-    return out.selectExpr("*", f"({base}) as base_failed", f"not ({base}) and n_covered_words <= {max_covered} * n_words and longest_repeat <= {max_longest} * n_words as kept")
+    return out.selectExpr("doc_id", *NAMES[:5], f"({base}) as base_failed", f"not ({base}) and n_covered_words <= {max_covered} * n_words and longest_repeat <= {max_longest} * n_words as kept", *NAMES[5:])

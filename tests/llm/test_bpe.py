@@ -13,6 +13,9 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def strings():
     r = random.Random(1)
     yield from ("", " ", "\n", "a", "<|endoftext|>", " x  <|endoftext|>y<|endoftext|>", "tab\t  b \x85 c\xa0\xa0d  e", "\x1c\x1d a\x1cb", "don't we'll 'S it's", "é ﬁ 東京タワー 🙂🙂 123,45", "a" * 3000, "ab " * 500, "﻿x​y")
+    yield from ("a \0b", "\0", " \0", "\0\0 \0a\n\0", "\n\0b a")
+    for c in (*map(chr, range(32)), "\x7f", "\x85"):
+        yield from (f"a {c}b", f"{c}b a", f"a{c}b c", f"a b{c}", f"a\n{c}b", f"{c}{c}a {c}", c)
     for _ in range(400):
         yield "".join(r.choice(["th", "er", " ", "  ", "\n", "é", "ß", "'s", "12", "##", "\t", "ion", "Z", " ", "東", "🙂", "."]) for _ in range(r.randint(1, 60)))
 

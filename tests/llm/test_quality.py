@@ -48,4 +48,5 @@ def test_frames(spark):
     rows = [(1, clean, 5), (1, clean, 5), (2, None, 1), (3, clean + " " + clean, 0), (4, "short text", 0), (5, (clean + "\n") * 300, 2)]
     out = {(r.doc_id, r.base_failed, r.kept, r.n_words) for r in quality.repetition(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()}
     assert out == {(1, False, True, 120), (2, True, False, 0), (3, True, False, 240), (4, True, False, 2), (5, True, False, 36_000)}
-    assert quality.repetition(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    none = quality.repetition(spark.createDataFrame([], "doc_id long, text string"))
+    assert none.count() == 0 and none.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat"]
