@@ -1,13 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated.
 
-Features are words, beginnings of words (4 to 8 characters), a beginning met at least two, three or five times in a text, and character 4- to 6-grams that labelled examples show to go with the label: seen in at least SUPPORT toxic examples, RATIO times likelier in them than in others, FEATURES at most (by chi-squared). Examples: at most TOXIC toxic and OTHER other texts of least hash of doc_id, each a TF-IDF vector over the features; texts without a feature have no direction and no neighbours. A text's NEAREST nearest examples by cosine are found exactly: blocks of examples are visited in the order of their bounds (sum of the query's weights times each feature's largest weight in the block) until no bound exceeds the last neighbour. Each neighbour votes with its cosine; PRIOR votes go to the share of toxic texts among all labelled ones, which keeps scores calibrated where evidence is thin. The neighbours' ids are the evidence.
+Terms are words in lower case, without what is no letter or digit at their edges, cut to their first STEM characters. Every term of a text counts: its weight is (1 + ln n) * idf * (1 + STRESS * lean). idf is that of the labelled examples; lean is how far a term is likelier in toxic examples than in others (the log of the ratio less twice its standard error, 0 at least), so that terms that tell the labels apart weigh more; none is dropped, and a term that no example has counts in the text's length.
+Examples: at most TOXIC toxic and OTHER other texts of least hash of doc_id, each a unit vector. They lie in blocks of BLOCK, like ones together. The WIDE most frequent terms have their postings as rows of blocks, with the largest weight of each block; the postings of the others are short and added up first. A text's NEAREST nearest examples are found exactly: blocks are visited in the order of their bounds (that sum, plus the text's weights times the blocks' largest ones) until no bound exceeds the last neighbour.
+Each neighbour votes with its cosine; PRIOR votes go to the share of toxic texts among all labelled ones, which keeps scores moderate where evidence is thin. The share of votes becomes a probability by a logistic curve fitted on at most CHECKED labelled texts that are no examples. The neighbours' ids are the evidence.
 
-Learning takes the rows of labels whose crc32(doc_id as text) mod 5 is not 0. Nulls: a null text is empty; texts without features score the share. A null label is no label; of several rows for a doc_id the larger label counts. Without any labels the score is 0. Rows that repeat give equal rows; whole texts of any length are read; an empty table gives an empty result.
+Learning takes the rows of labels whose crc32(doc_id as text) mod 5 is not 0; examples come from remainders 1 to 3, the curve from 4. Nulls: a null text is empty; texts without a known term score what the share alone gives. A null label is no label; of several rows for a doc_id the larger label counts; of several texts with a doc_id the least is the example. Without any labels the score is 0. Rows that repeat give equal rows; whole texts of any length are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOXIC, OTHER, FEATURES, SUPPORT, RATIO = 3000, 6000, 2000, 4, 6.0
-NEAREST, PRIOR, BLOCK, GRAMS = 15, 0.35, 64, (4, 5, 6)
-EDGE = re.compile(r"^\W+|\W+$")
+TOXIC, OTHER, CHECKED = 2000, 4000, 1500
+STEM, STRESS, WIDE = 5, 6.0, 1000
+NEAREST, PRIOR, BLOCK, AT_ONCE = 15, 0.35, 64, 16
+EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def fold(key: str, parts: int) -> Column:
@@ -28,159 +30,195 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("long").cast("string").cast("binary")) % parts
 
 
-def features_of(word: bytes) -> set[str]:
-    w = EDGE.sub("", word.decode("utf-8", "replace"))
-    out = {f"={w}", *(f"^{w[:n]}" for n in range(4, min(9, len(w) + 1)))} if w else set()
-    for n in GRAMS:
-        out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
+class Stems(dict):
+    """The term of a word, kept for words met before."""
 
+    def __missing__(self, word: bytes) -> str:
+        if len(self) > C.WordHashes.KEEP:
+            self.clear()
+        self[word] = out = EDGE.sub("", word.decode("utf-8", "replace").lower())[:STEM]
+        return out
 
-#: How often a beginning must be met for a feature of its own.
-TIMES = (2, 3, 5)
 
+STEMS = Stems()
 
-def repeated(counts: Counter) -> list[str]:
-    """The features for beginnings met several times."""
-    return [f"{f}*{n}" for f, c in counts.items() if c > 1 and f[0] == "^" for n in TIMES if c >= n]
 
+def terms_of(text: bytes) -> Counter:
+    c = Counter(map(STEMS.__getitem__, C.words_of(text)))
+    del c[""]
+    return c
 
-class Matcher(dict):
-    """The features of a word, kept for words met before. Features number, and after them the beginnings that only count when repeated."""
 
-    def __init__(self, number: dict[str, int]):
-        more = sorted({f.rpartition("*")[0] for f in number if f[0] == "^" and "*" in f[1:]}.difference(number))
-        self.number = number | {f: len(number) + i for i, f in enumerate(more)}
-        self.times = {self.number[f.rpartition("*")[0]]: [] for f in number if f[0] == "^" and "*" in f[1:]}
-        for f, i in number.items():
-            if f[0] == "^" and "*" in f[1:]:
-                self.times[self.number[f.rpartition("*")[0]]].append((int(f.rpartition("*")[2]), i))
+def leaning(toxic: np.ndarray, other: np.ndarray, p: int, n: int) -> np.ndarray:
+    """The lower bound of the log of how much likelier a term is in toxic examples, of p and n examples."""
+    a, b = toxic + 0.5, other + 0.5
+    return np.maximum(0, np.log(a / (p + 1)) - np.log(b / (n + 1)) - 2 * np.sqrt(1 / a + 1 / b))
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(sorted(self.number[f] for f in features_of(word) if f in self.number))
-        if len(self) > C.WordHashes.KEEP:
-            self.clear()
-        self[word] = found
-        return found
 
-    def vector(self, text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Features and unit weights of a text, empty if it has none."""
-        counts = Counter(f for fs in map(self.__getitem__, C.words_of(text)) if fs for f in fs)
-        for f in [f for f in counts if f in self.times]:
-            counts.update(i for n, i in self.times[f] if counts[f] >= n)
-        for f in [f for f in counts if f >= len(idf)]:
-            del counts[f]
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[f] for f in at.tolist()])) * idf[at] if len(at) else np.zeros(0)
-        return at, w / np.sqrt((w * w).sum()) if len(at) else w
+class Weights:
+    """Terms by number, their weights, and the vectors of texts."""
+
+    def __init__(self, terms: list[str], toxic: np.ndarray, other: np.ndarray, p: int, n: int):
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.idf = ((np.log((p + n + 1) / (toxic + other + 1)) + 1) * (1 + STRESS * leaning(toxic, other, p, n))).astype(np.float32)
+        self.unknown = np.log(p + n + 1) + 1
+
+    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms, ascending, and their weights; the whole text's vector, unknown terms included, has length 1."""
+        get, known, n, rest = self.number.get, [], [], []
+        for t, k in terms_of(text).items():
+            i = get(t)
+            if i is None:
+                rest.append(k)
+            else:
+                known.append(i)
+                n.append(k)
+        at = np.array(known, np.int64)
+        w = (1 + np.log(np.array(n, np.float64))) * self.idf[at]
+        far = (1 + np.log(np.array(rest, np.float64))) * self.unknown
+        order = np.argsort(at)
+        return at[order], (w / np.sqrt(max(1e-30, (w * w).sum() + (far * far).sum())))[order].astype(np.float32)
 
 
 class Index:
-    def __init__(self, number: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float):
-        self.number, self.idf, self.share = number, idf, share
-        examples = sorted(examples, key=lambda e: (e[2][np.argmax(e[3])], e[0]))  # like examples together: closer bounds
-        self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], float)
-        self.blocks, self.vectors, self.weights = -(-len(examples) // BLOCK), [(at, w.astype(np.float32)) for _, _, at, w in examples], None
-
-    def _unpack(self) -> None:
-        """The blocks' weights and bounds, where they are searched; the driver sends the vectors only."""
-        self.weights = np.zeros((self.blocks, len(self.number), BLOCK), np.float32)
-        for i, (at, w) in enumerate(self.vectors):
-            self.weights[i // BLOCK, at, i % BLOCK] = w
-        self.most = self.weights.max(axis=2) if self.blocks else np.zeros((0, len(self.number)), np.float32)
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], terms: int, share: float):
+        """examples: id, label, terms, weights."""
+        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (e[1], e[2][np.argmax(e[3])], e[0]))  # like examples together: closer bounds
+        self.share, self.ids, self.labels = share, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float)
+        self.blocks, self.terms, self.ready = -(-len(examples) // BLOCK), terms, False
+        of = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])
+        at = np.concatenate([e[2] for e in examples]).astype(np.int32) if examples else np.zeros(0, np.int32)
+        order = np.argsort(at, kind="stable")
+        self.item, self.weight = of[order], (np.concatenate([e[3] for e in examples]) if examples else np.zeros(0)).astype(np.float32)[order]
+        self.begin = np.searchsorted(at[order], np.arange(terms + 1)).astype(np.int64)
+
+    def unpack(self) -> None:
+        """Rows of blocks for the frequent terms, and their largest weights; where they are searched."""
+        df = np.diff(self.begin)
+        wide = np.argsort(-df, kind="stable")[:WIDE]
+        self.row = np.full(self.terms, -1, np.int64)
+        self.row[wide] = np.arange(len(wide))
+        self.rows = np.zeros((self.blocks, len(wide), BLOCK), np.float32)
+        for r, t in enumerate(wide.tolist()):
+            i = self.item[self.begin[t] : self.begin[t + 1]]
+            self.rows[i // BLOCK, r, i % BLOCK] = self.weight[self.begin[t] : self.begin[t + 1]]
+        self.most, self.ready = np.ascontiguousarray(self.rows.max(axis=2, initial=0).T), True
 
     def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples; ties go to the lower place."""
-        if self.weights is None:
-            self._unpack()
-        w = w.astype(np.float32)
-        bound = self.most[:, at] @ w
-        places, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(cosines) == NEAREST and bound[b] < cosines[-1] - 1e-6):
+        if not self.ready:
+            self.unpack()
+        wide = self.row[at] >= 0
+        r, v, few, u = self.row[at[wide]], w[wide], at[~wide], w[~wide]
+        n = self.begin[few + 1] - self.begin[few]
+        ends = np.cumsum(n)
+        posting = np.arange(int(n.sum())) + np.repeat(self.begin[few] - ends + n, n)
+        sums = np.bincount(self.item[posting], self.weight[posting] * np.repeat(u, n), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = sums.max(axis=1) + v @ self.most[r]
+        order = np.argsort(-bound, kind="stable")
+        places, cosines = np.zeros(0, np.int64), np.zeros(0)
+        for i in range(0, self.blocks, AT_ONCE):
+            some = order[i : i + AT_ONCE]
+            if bound[some[0]] <= 0 or (len(cosines) == NEAREST and bound[some[0]] < cosines[-1] - 1e-5):
                 break
-            x = w @ self.weights[b, at]
-            hit = np.flatnonzero(x > 0)
-            places, cosines = np.append(places, b * BLOCK + hit), np.append(cosines, x[hit])
-            order = np.lexsort((places, -cosines))[:NEAREST]
-            places, cosines = places[order], cosines[order]
+            x = (sums[some] + np.matmul(v, self.rows[some[:, None], r])).ravel()
+            spot = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = np.flatnonzero(x > max(0, cosines[-1] - 1e-9 if len(cosines) == NEAREST else 0))
+            places, cosines = np.append(places, spot[hit]), np.append(cosines, x[hit])
+            best = np.lexsort((places, -cosines))[:NEAREST]
+            places, cosines = places[best], cosines[best]
         return places, cosines
 
-    def score(self, at: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
+    def vote(self, at: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
+        """The share of votes for toxic, and the voters."""
         if not len(at) or not self.blocks:
             return self.share, []
         places, cosines = self.nearest(at, w)
-        votes = float(cosines.sum())
-        return (float(cosines @ self.labels[places]) + PRIOR * self.share) / (votes + PRIOR), [self.ids[i] for i in places.tolist()]
+        return float((cosines @ self.labels[places] + PRIOR * self.share) / (cosines.sum() + PRIOR)), self.ids[places].tolist()
+
+
+def curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and middle of the logistic curve from shares of votes to chances (a little ridge keeps it finite). Without both labels: a steep one in the middle."""
+    if len(set(labels.tolist())) < 2:
+        return 8.0, 0.5
+    x, theta = np.stack([votes - 0.5, np.ones(len(votes))], 1), np.array([8.0, 0.0])
+    ridge = np.array([0.02, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
+        step = np.linalg.solve(h, x.T @ (p - labels) + ridge * (theta - [8.0, 0.0]))
+        theta -= np.clip(step, -5, 5)
+    return (float(theta[0]), float(np.clip(0.5 - theta[1] / theta[0], 0.1, 0.9))) if theta[0] > 0 else (8.0, 0.5)
 
 
 def _count(batches):
-    """For each feature the toxic and other texts that have it, as far as this task has read."""
+    """For each term the toxic and other texts that have it, as far as this task has read."""
     toxic, other = Counter(), Counter()
-    seen: dict[bytes, set[str]] = {}
     for batch in batches:
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = Counter(C.words_of(text))
-            if len(seen) > 100_000:
-                seen.clear()
-            for w in set(words).difference(seen):
-                seen[w] = features_of(w)
-            have, begin = set(), Counter()
-            for w, n in words.items():
-                have |= seen[w]
-                for f in seen[w]:
-                    if f[0] == "^":
-                        begin[f] += n
-            (toxic if label else other).update(have.union(repeated(begin)))
+            (toxic if label else other).update(set(terms_of(text)))
     names = list(set(toxic) | set(other))
     for i in range(0, len(names), 50_000):
         some = names[i : i + 50_000]
-        yield pa.record_batch([pa.array(some, pa.string()), pa.array([toxic[x] for x in some], pa.int64()), pa.array([other[x] for x in some], pa.int64())], ["feature", "toxic", "other"])
+        yield pa.record_batch([pa.array(some, pa.string()), pa.array([toxic[x] for x in some], pa.int64()), pa.array([other[x] for x in some], pa.int64())], ["term", "toxic", "other"])
 
 
-def _vectors(number: dict[str, int], idf: np.ndarray):
-    """Features and weights of the examples that have any."""
+def _vectors(shared):
+    def run(batches):
+        weights = shared.value
+        for batch in batches:
+            found = [weights.vector(x) for x in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([at.astype(np.int32).tobytes() for at, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["doc_id", "label", "at", "weights"])
 
+    return run
+
+
+def _votes(shared):
     def run(batches):
-        matcher = Matcher(number)
+        weights, index, _ = shared.value
         for batch in batches:
-            found = [matcher.vector(x, idf) for x in batch.column("text").to_pylist()]
-            out = pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([at.tobytes() for at, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["doc_id", "label", "at", "weights"])
-            yield out.filter(pa.array([len(at) > 0 for at, _ in found], pa.bool_()))
+            votes = [index.vote(*weights.vector(x))[0] for x in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("label"), pa.array(votes, pa.float64())], ["label", "vote"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> Index:
-    """docs: doc_id, text as bytes; labels: doc_id and a label of 0 or 1."""
-    scratch = C.Scratch(docs.sparkSession, "toxicity")
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> tuple[Weights, Index, tuple[float, float]]:
+    """docs: doc_id, text as bytes; labels: doc_id and a label of 0 or 1. What is gathered comes from TOXIC + OTHER + CHECKED texts."""
+    spark = docs.sparkSession
+    scratch = C.Scratch(spark, "toxicity")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where((fold("doc_id", 5) != 0) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = scratch.write(known, "known")
-    few = lambda y, n: known.where(f"label = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = scratch.write(few(1, TOXIC).unionAll(few(0, OTHER)), "some")
-    sample = scratch.write(docs.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]), "sample")  # TOXIC + OTHER texts
+    few = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    example = fold("doc_id", 5) != 4
+    some = few(known.where(example & (F.col("label") == 1)), TOXIC).unionAll(few(known.where(example & (F.col("label") == 0)), OTHER)).withColumn("checked", F.lit(False))
+    some = scratch.write(some.unionAll(few(known.where(~example), CHECKED).withColumn("checked", F.lit(True))), "some")
+    sample = scratch.write(docs.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", "checked", "text")).alias("x")).select("doc_id", "x.*"), "sample")
+    examples, checked = sample.where("not checked"), sample.where("checked")
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     p, n = sizes.get(1, 0), sizes.get(0, 0)
     share = shares.get(1, 0) / max(1, sum(shares.values()))
-    counts = sample.select("label", "text").mapInArrow(_count, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    likelier = F.expr(f"((toxic + 0.5) / {p + 1}) / ((other + 0.5) / {n + 1})")
-    rest = F.expr(f"power(toxic * double({n}) - other * double({p}), 2) / ((toxic + other) * double({p + n} - toxic - other) + 1)")
-    chosen = counts.where(f"toxic >= {SUPPORT}").where(likelier >= RATIO).orderBy(rest.desc(), "feature").limit(FEATURES).collect()
-    number = {r["feature"]: i for i, r in enumerate(chosen)}
-    idf = np.array([math.log((p + n + 1) / (r["toxic"] + r["other"] + 1)) + 1 for r in chosen])
-    vectors = sample.select("doc_id", "label", "text").mapInArrow(_vectors(number, idf), "doc_id long, label int, at binary, weights binary").toArrow()  # TOXIC + OTHER rows, FEATURES values each at most
-    examples = [(i, label, np.frombuffer(at, np.int64), np.frombuffer(w)) for i, label, at, w in zip(*(c.to_pylist() for c in vectors.columns), strict=True)]
-    return Index(number, idf, examples, share)
+    counts = examples.select("label", "text").mapInArrow(_count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).orderBy("term").toArrow()
+    weights = Weights(counts["term"].to_pylist(), counts["toxic"].to_numpy(), counts["other"].to_numpy(), p, n)
+    shared = spark.sparkContext.broadcast(weights)
+    vectors = examples.mapInArrow(_vectors(shared), "doc_id long, label int, at binary, weights binary").toArrow()
+    found = [(i, y, np.frombuffer(at, np.int32), np.frombuffer(w, np.float32)) for i, y, at, w in zip(*(c.to_pylist() for c in vectors.columns), strict=True)]
+    index = Index(found, len(weights.number), share)
+    shared.destroy()
+    shared = spark.sparkContext.broadcast((weights, index, None))
+    votes = checked.mapInArrow(_votes(shared), "label int, vote double").toArrow()
+    shared.destroy()
+    return weights, index, curve(votes["vote"].to_numpy(), votes["label"].to_numpy())
 
 
 def _run(shared):
     def run(batches):
-        index = shared.value
-        matcher = Matcher(index.number)
+        weights, index, (slope, middle) = shared.value
+        chance = lambda vote: 1 / (1 + np.exp(-np.clip(slope * (vote - middle), -30, 30))) if index.share else 0.0
         for batch in batches:
-            out = [index.score(*matcher.vector(x, index.idf)) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
+            out = [index.vote(*weights.vector(x)) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([float(chance(v)) for v, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
 
     return run
 
