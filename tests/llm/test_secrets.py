@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,41 @@ def test_redaction(spark):
 
 def test_no_rows(spark):
     assert secrets.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_random_parts_of_longer_runs_and_around_fixed_spans(spark):
+    r = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, of=letters + "0123456789": "".join(r.choice(of) for _ in range(n))
+    say = lambda n: " ".join(r.choice(["the", "and", "session", "identifier", "other", "internal", "number", "settings", "with", "value"]) for _ in range(n))
+    rows = [(i, f'{say(80)} token = "{r.getrandbits(160):040x}"') for i in range(100)]
+    a, b, c = key(24), key(40, letters), key(30)
+    rows += [(500, f"x {'session_identifier_of_the_internal_settings_' * 6}={a} y"), (501, f"x {b} y"), (502, f"x 0123456789abcdef/{c} y"), (503, "x internationalization_of_the_other_settings y")]
+    got = {x.doc_id: [x.text[s.start : s.end] for s in x.spans if s.kind == 3] for x in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 500").collect()}
+    assert got[500] == [a] and got[501] == [b] and got[503] == []
+    assert len(got[502]) == 1 and got[502][0].endswith(c) and "0123456789abcdef" not in got[502][0]
+
+
+def test_time_grows_with_length_only(spark):
+    table = secrets.train(spark.createDataFrame([(i, f"some words here token=0123456789abcdef{i}") for i in range(50)], "doc_id long, text string"))
+    one = lambda n: f"secret=abcdefghijkl{n:08d} "
+    for make in (lambda n: "".join(map(one, range(n))), lambda n: "aB3" * (10 * n)):
+        took = []
+        for n in (100, 3000, 30_000):
+            df = spark.createDataFrame([(1, make(n))], "doc_id long, text string")
+            began = time.time()
+            out = secrets.annotate(df, "text", table, "b", "s").select("s", secrets.redacted("text", "s").alias("r"), "text").collect()[0]
+            took.append(time.time() - began)
+            at, want = 0, []
+            for s in out.s:
+                if s.start >= at:
+                    want += [out.text[at : s.start], "[SECRET]"]
+                at = max(at, s.end)
+            assert out.r == "".join(want) + out.text[at:] and len(out.s) >= (n if "secret" in out.text else 1)
+        assert took[2] < 25 * took[1] + 2
+
+
+def test_any_names(spark):
+    df = spark.createDataFrame([(1, "secret=abcdefghijklmnop", "a", "b", "c", "d")], "doc_id long, text string, _base string, _spans string, _fixed string, _runs string")
+    out = secrets.annotate(df, "text", [0.0] * 16384, "base", "spans")
+    assert out.columns == [*df.columns, "base", "spans"] and len(out.first().base) == 1
