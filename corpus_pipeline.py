@@ -1,7 +1,7 @@
 """A training corpus from documents: toxic texts, near copies and benchmark passages go, secrets are masked, what stays is encoded.
 
 Each stage reads all that its predecessor kept. STAGES: toxicity, near-dedup, decontamination, secret scans, BPE.
-Every stage takes null texts as empty and null ids as a value of their own (kept); rows that repeat a doc_id stand or fall together, but near-dedup leaves one of them; empty tables pass through; extra columns stay until the last stage.
+Every stage takes null texts as empty; rows that repeat a doc_id stand or fall together in toxicity and decontamination (if one text of an id is toxic or holds a benchmark item, all rows of it go; a null id is never dropped there). Near-dedup judges rows, not ids: equal or near texts leave one row, different texts of one id (or of none) stay. Empty tables pass through; extra columns of any name stay until the last stage.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from collatio.llm.queries import byte_bpe
 IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, scratch: C.Scratch) -> DataFrame:
-    gone = scratch.write(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(C.broadcast_below(gone, IDS), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+def _without(docs: DataFrame, ids: DataFrame, scratch: C.Scratch, key: str = "doc_id") -> DataFrame:
+    (name,) = C.own("gone")
+    gone = scratch.write(ids.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(C.broadcast_below(gone, IDS), docs[key].cast("long") == F.col(name), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = C.Scratch(spark, "drop_near_copies")
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    left = _without(docs, found.where("not kept"), scratch)
-    twice = scratch.write(docs.groupBy(F.col("doc_id").cast("long").alias("_twice")).agg(F.count("*").alias("n")).where("n > 1 and _twice is not null").select("_twice"), "twice")
-    if twice.isEmpty():
-        return left
-    once = left.join(C.broadcast_below(twice, IDS), left["doc_id"].cast("long") == F.col("_twice"), "left_anti")
-    again = left.join(C.broadcast_below(twice, IDS), left["doc_id"].cast("long") == F.col("_twice"), "left_semi")
-    return once.unionAll(again.dropDuplicates(["doc_id"]))
+    if docs.groupBy(F.col("doc_id").cast("long").alias("id")).count().where("count > 1 or id is null").isEmpty():
+        return _without(docs, minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept"), scratch)
+    (row,) = C.own("row")  # ids don't tell rows apart: numbers of a written table do
+    rows = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    return _without(rows, minhash.near_duplicates(rows, key=row, shingle=5, percent=80).where("not kept"), scratch, row).drop(row)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +42,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    text, (base, spans) = docs.withColumn("text", F.coalesce("text", F.lit(""))), C.own("base", "spans")
     table = secrets.train(text.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    out = secrets.annotate(text, "text", table).withColumn("text", secrets.redacted("text", "_spans")).drop("_base", "_spans")
+    out = secrets.annotate(text, "text", table, base, spans).withColumn("text", secrets.redacted("text", spans)).drop(base, spans)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
 
 
