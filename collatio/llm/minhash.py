@@ -6,10 +6,11 @@ Steps, none of which emits all pairs of a group:
 1. documents with the same set of shingles collapse to their smallest doc_id;
 2. the others' sketches are cut into bands; in a bucket (equal band) each member is paired with the bucket's smallest member, and each document's smallest such partner is verified on the full sets: a forest whose components are classes so far;
 3. in buckets that still hold several classes, members of all classes but the largest are paired with one member of the largest, and classes merge;
-4. the documents of buckets that still hold several classes are joined by prefix filter (Chaudhuri, Ganti, Kaushik, A Primitive Operator for Similarity Joins, 2006): two sets with J >= 0.8 share one of the n - ceil(0.8 n) + 1 first elements of each, in any order common to all; the order puts rare elements first, so that what a whole family shares meets nowhere. Only pairs of different classes come out, and pairs whose sketches agree enough are verified. With that every pair of a bucket has been verified, lies in one class or can't be a link.
+4. the documents of buckets that still hold several classes are joined by prefix filter (Chaudhuri, Ganti, Kaushik, A Primitive Operator for Similarity Joins, 2006): two sets with J >= 0.8 share one of the n - ceil(0.8 n) + 1 first elements of each, in any order common to all; the order puts rare elements first (counted exactly over these documents), so that what a whole family shares meets nowhere, and an element of one document only takes a place but meets nothing. Groups of more than GROUP documents are cut into a grid of blocks. Only pairs of different classes come out, and pairs whose sketches agree enough are verified. With that every pair of a bucket has been verified, lies in one class or can't be a link.
+Where many pairs to verify share a document (the smallest of a large family), its text goes to each FAN of them separately: no key is hot.
 With 40 bands of 5 rows a pair at the limit of 0.8 shares no bucket with a chance of 1e-7.
 
-Nulls: a null text is empty. Documents without words have no shingles, are linked with nothing and kept. Rows that repeat a doc_id with the same text get the same result each. An empty table gives an empty result.
+Nulls: a null text is empty; a null doc_id is linked with nothing and kept. Documents without words have no shingles, are linked with nothing and kept. Rows that repeat a doc_id with the same text get the same result each; those with different texts are classed each by its own text (a row is kept if its doc_id is the smallest of its class). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: A pair with J = 0.8 has 160 equal coordinates of 200; 0.66 is five standard deviations below.
 SKETCH_LEAST = 0.66
-#: Counters for the order of shingles by how common they are; the order need only be the same everywhere, so collisions cost time, never links.
-COUNTERS = 1 << 18
+#: Pairs to verify that take one copy of the text they share, and documents that meet in one block of a group.
+FAN, GROUP = 256, 2000
 #: Ids broadcast at once: 16 MB at most.
 BROADCAST_IDS = 1_000_000
 
@@ -105,38 +106,36 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _counts(k: int):
-    """One row for each counter that a task has met."""
+def _tokens(k: int):
+    """The shingles of each text."""
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for data in batch.column("text").to_pylist():
-                np.add.at(counts, (C.shingles(C.words_of(data), k) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 1 << 16):
-            x = at[i : i + (1 << 16)]
-            yield pa.record_batch([pa.array(x.astype(np.int32)), pa.array(counts[x])], ["at", "n"])
+            sets = [C.shingles(C.words_of(data), k) for data in batch.column("text").to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
+            for i in range(0, len(flat), 1 << 16):
+                yield pa.record_batch([pa.array(x[i : i + (1 << 16)]) for x in (flat, ids, np.repeat(sizes, sizes))], ["token", "rep", "n"])
 
     return run
 
 
-def _prefixes(k: int, percent: int, shared):
-    def run(batches):
-        counts = shared.value
-        for batch in batches:
-            ids, sizes, tokens, places = [], [], [], []
-            for i, data in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = C.shingles(C.words_of(data), k)
-                n = len(s)
-                first = s[np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
-                ids.append(np.full(len(first), i))
-                sizes.append(np.full(len(first), n))
-                tokens.append(first.view(np.int64))
-                places.append(np.arange(len(first)))
-            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, ids, sizes, places)], ["token", "rep", "n", "place"])
+def prefixes(texts: DataFrame, scratch: C.Scratch, k: int, percent: int) -> DataFrame:
+    """token, rep, n (size of the set), place: of the first elements of each set, rarest first, those that another set has too."""
+    tokens = scratch.write(texts.mapInArrow(_tokens(k), "token long, rep long, n long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    sets = tokens.join(common, "token").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))  # a text's shingles
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    alone = F.col("n") - F.size("shared")
+    heads = sets.select("rep", "n", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(F.lit(0), first - alone).cast("int")).alias("head")).select("rep", "n", "alone", F.posexplode("head").alias("at", "x"))
+    return scratch.write(heads.select(F.col("x.token").alias("token"), "rep", "n", (F.col("alone") + F.col("at")).alias("place")), "heads")
 
-    return run
+
+def grid(rows: DataFrame, wide: DataFrame, member: str, own: str, other: str) -> DataFrame:
+    """Rows of groups (token) with the block of the member, once for each block of the other side. wide: token, blocks, of large groups."""
+    out = rows.join(wide, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return out.withColumn(own, F.pmod(F.xxhash64(member), F.col("blocks"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
 
 def merged(classes: DataFrame, links: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -168,8 +167,13 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: C.Scratch, k: int, perc
     """Of pairs (a, b) of doc_ids, a table already written, those whose whole texts have enough shingles in common."""
     need = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "need")
     texts = scratch.write(docs.join(C.broadcast_below(need, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    x, y = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
-    return scratch.write(pairs.join(y, "b").join(x, "a").select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
+    fans = scratch.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans")).where("fans > 1"), "fans")
+    fans = C.broadcast_below(fans, BROADCAST_IDS)
+    one = F.coalesce("fans", F.lit(1).cast("long"))
+    dealt = pairs.join(fans, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).alias("fan"))
+    x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).join(fans, "a", "left").select("a", "a_text", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("fan"))
+    y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    return scratch.write(dealt.join(y, "b").join(x, ["a", "fan"]).select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -181,7 +185,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     C.prepare(spark)
     scratch = C.Scratch(spark, "minhash")
     docs = C.id_and_text(docs, key, text)
-    each = scratch.write(docs.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, set_key binary, coords binary, bands array<long>"), "sketches")
+    each = sketched(docs, scratch, shingle)
+    several = each.where("doc_id is not null").select("doc_id", F.xxhash64("set_key").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    if several.isEmpty():
+        return classed(docs, each, scratch, shingle, percent)
+    rows = scratch.write(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # ids don't tell texts apart: numbers of a written table do
+    numbered = rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+    found = classed(numbered, sketched(numbered, scratch, shingle), scratch, shingle, percent).withColumnsRenamed({"doc_id": "row", "component_id": "class"}).drop("kept")
+    found = scratch.write(found.join(rows.select("row", "doc_id"), "row"), "found")
+    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "class").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionAll(each.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def sketched(docs: DataFrame, scratch: C.Scratch, shingle: int) -> DataFrame:
+    return scratch.write(docs.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, set_key binary, coords binary, bands array<long>"), "sketches")
+
+
+def classed(docs: DataFrame, each: DataFrame, scratch: C.Scratch, shingle: int, percent: int) -> DataFrame:
+    """near_duplicates() where a doc_id has one text."""
     sets = scratch.write(each.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "sets")
     reps = each.where("n_shingles > 0").join(sets.select(F.col("set_key").alias("of"), "rep"), (F.col("set_key") == F.col("of")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["set_key"])
     rows = scratch.write(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")), "bands")
@@ -201,16 +223,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if not named.isEmpty():
         some = scratch.write(named.select(F.col("rep").alias("doc_id")).distinct(), "some")
         texts = scratch.write(docs.join(C.broadcast_below(some, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        counts = np.zeros(COUNTERS, np.int64)
-        found = texts.mapInArrow(_counts(shingle), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-        counts[found["at"].to_numpy()] = found["n"].to_numpy()
-        shared = spark.sparkContext.broadcast(counts)
-        heads = scratch.write(texts.mapInArrow(_prefixes(shingle, percent, shared), "token long, rep long, n long, place long"), "heads")
+        heads = prefixes(texts, scratch, shingle, percent)
         named = split_groups(heads, classes, scratch, "token")
         rest = named.where("class <> main").select("token", F.col("rep").alias("x"), F.col("class").alias("of_x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"))
         # from a first common element on, both sets must hold enough elements (the positional filter of Xiao et al., Efficient Similarity Joins, 2008)
         fits = f"class <> of_x and (class = main or rep < x) and {100 + percent} * least(n - place, n_x - place_x) >= {percent} * (n + n_x)"
-        pairs = named.join(rest, "token").where(fits).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+        wide = scratch.write(named.groupBy("token").agg(F.ceil(F.count("*") / GROUP).alias("blocks")).where("blocks > 1"), "wide")
+        wide = C.broadcast_below(wide, BROADCAST_IDS)
+        pairs = grid(named, wide, "rep", "block", "block_x").join(grid(rest, wide, "x", "block_x", "block"), ["token", "block", "block_x"]).where(fits).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         near = agreeing(scratch.write(pairs, "pairs"), each, scratch)
         classes = merged(classes, verified(near, docs, scratch, shingle, percent), scratch)
 

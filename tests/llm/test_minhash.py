@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -59,6 +60,36 @@ def test_repeated_rows_and_no_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(4, one), (4, two), (7, two + " end"), (2, one + " end"), (None, one), (None, two), (9, None), (9, "x"), (8, "x")]
+    want = [(4, 2, False), (4, 4, True), (7, 4, False), (2, 2, True), (None, None, True), (None, None, True), (9, 9, True), (9, 8, False), (8, 8, True)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_groups_in_blocks_and_shared_texts_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP", 3)
+    monkeypatch.setattr(minhash, "FAN", 4)
+    rows = corpus()
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 4, 80)
+
+
+def test_prefixes_equal_plain_order(spark):
+    rows = [(i, t) for i, t in corpus() if t and len(t.split()) > 4][:120]
+    got = {}
+    for r in minhash.prefixes(spark.createDataFrame([(i, bytearray(t.encode())) for i, t in rows], "doc_id long, text binary"), common.Scratch(spark, "test"), 4, 80).collect():
+        got.setdefault(r.rep, set()).add((r.token, r.n, r.place))
+    sets = {i: common.shingles(common.words_of(t.encode()), 4).view(np.int64).tolist() for i, t in rows}
+    df = Counter(x for s in sets.values() for x in s)
+    for i, s in sets.items():
+        n = len(s)
+        first = sorted(s, key=lambda x: (df[x], x))[: n - -(-80 * n // 100) + 1]
+        alone = sum(df[x] == 1 for x in s)
+        assert got.get(i, set()) == {(x, n, alone + j) for j, x in enumerate(sorted((x for x in first if df[x] > 1), key=lambda x: (df[x], x)))}
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(1)
     for n in (1, 3, 50, 5000):
