@@ -1,9 +1,9 @@
 """Token ids in binary shards: static range asymmetric numeral system (Duda, 2013) with one frequency table for all shards.
 
-A folder holds `frequencies` and `part-NNNNN.rans`. A block holds whole documents, about BLOCK ids, dealt to interleaved lanes whose 64-bit states renormalise by 32-bit words into one stream, so that arrays encode and decode all lanes at once. A block decodes alone; its checkpoints (states and place in the stream after every EVERY steps) let a decoder begin inside it. The index at a shard's end has each block's place, documents, ids and CRC-32 of its bytes.
+A folder holds `frequencies` and `part-NNNNN.rans`. A block holds whole documents, about BLOCK ids, dealt to interleaved lanes whose 64-bit states renormalise by 32-bit words into one stream, so that arrays encode and decode all lanes at once. A block decodes alone; its checkpoints (states and place in the stream after every EVERY steps) let a decoder begin inside it: single documents are read from the checkpoint before them. The index at a shard's end has each block's place, documents, ids and CRC-32 of its bytes.
 
 Shards follow ascending doc_id: documents are dealt by ranges of doc_id and sorted inside. Tasks write under a name of their own and rename at the end, so a repeated task (a lost executor) leaves the same shard.
-Nulls: a null text is empty and has the end id alone; a null doc_id sorts first. Rows that repeat a doc_id each have a document in the shards. Texts of any length are whole in one block. An empty table makes no shard and an empty result.
+Nulls: a null text is empty and has the end id alone; a null doc_id sorts first. Rows that repeat a doc_id each have a document in the shards; an id (or null) with more text than a shard is made for is dealt to several by hash of the text, in no order of its own. Texts of any length are whole in one block. An empty table makes no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -93,15 +93,16 @@ def encode_block(t: Table, ids: np.ndarray, lanes: int = LANES, every: int = EVE
     return struct.pack("<IIII", len(ids), lanes, len(marks), n) + body + b"".join(w.tobytes() for w in reversed(words))
 
 
-def decode_block(t: Table, data: bytes, checkpoint: int = 0) -> np.ndarray:
-    """The ids from the checkpoint's step on; checkpoint 0 begins the block."""
+def decode_block(t: Table, data: bytes, checkpoint: int = 0, until: int | None = None) -> np.ndarray:
+    """The ids from the checkpoint's step on; checkpoint 0 begins the block. until: ids from the block's beginning that are enough."""
     n, lanes, marks, n_words = struct.unpack_from("<IIII", data)
     size = 8 + 8 * lanes
     step, at = struct.unpack_from("<II", data, 16 + checkpoint * size)
     x = np.frombuffer(data, "<u8", lanes, 24 + checkpoint * size).copy()
     words = np.frombuffer(data, "<u4", n_words, 16 + marks * size).astype(np.uint64)
-    out, bits, low = np.empty(n - step * lanes, np.int32), np.uint64(t.bits), np.uint64((1 << t.bits) - 1)
-    for first in range(step * lanes, n, lanes):
+    last = n if until is None else min(n, -(-until // lanes) * lanes)
+    out, bits, low = np.empty(max(0, last - step * lanes), np.int32), np.uint64(t.bits), np.uint64((1 << t.bits) - 1)
+    for first in range(step * lanes, last, lanes):
         state = x[: min(lanes, n - first)]
         slot = state & low
         s = t.slots[slot]
@@ -111,11 +112,19 @@ def decode_block(t: Table, data: bytes, checkpoint: int = 0) -> np.ndarray:
         taken = int(under.sum())
         state[under] = (state[under] << np.uint64(32)) | words[at : at + taken]
         at += taken
-    if at != n_words or (x != LOW).any():
+    if last == n and (at != n_words or (x != LOW).any()):
         raise ValueError("a damaged block: the states don't end where they began")
     return t.ids[out]
 
 
+def slice_block(t: Table, data: bytes, first: int, end: int) -> np.ndarray:
+    """The ids from first to end, decoded from the checkpoint before."""
+    _, lanes, marks, _ = struct.unpack_from("<IIII", data)
+    steps = [struct.unpack_from("<I", data, 16 + i * (8 + 8 * lanes))[0] for i in range(marks)]
+    mark = max(i for i, s in enumerate(steps) if s * lanes <= first)
+    return decode_block(t, data, mark, end)[first - steps[mark] * lanes : end - steps[mark] * lanes]
+
+
 class Shard:
     """Writes one shard; close() renames it to its name."""
 
@@ -197,7 +206,26 @@ def by_library(t):
     return encode
 
 
-def _tokenise(path: str, end: int):
+class Ranges:
+    """Parts by ascending doc_id: nulls first, then a part up to each bound. A bound that several quantiles share has as many parts of its own, dealt by hash of the text; so have nulls."""
+
+    def __init__(self, bounds: list[int], nulls: int):
+        self.bounds, times = np.unique(np.array(bounds, np.int64), return_counts=True)
+        self.nulls, self.own = nulls, np.append(np.where(times > 1, times, 0), 0)
+        self.begin = nulls + np.cumsum(1 + self.own) - self.own - 1
+        self.parts = int(nulls + (1 + self.own).sum())
+
+    def parts_of(self, ids: list[int | None], texts: list[bytes]) -> list[int]:
+        known = np.array([0 if i is None else i for i in ids], np.int64)
+        at = np.searchsorted(self.bounds, known)
+        hot = self.own[at] * (np.append(self.bounds, 0)[at] == known)
+        out = self.begin[at]
+        for k in np.flatnonzero(hot).tolist():
+            out[k] += 1 + zlib.crc32(texts[k]) % int(hot[k])
+        return [zlib.crc32(x) % self.nulls if i is None else p for i, p, x in zip(ids, out.tolist(), texts, strict=True)]
+
+
+def _tokenise(path: str, end: int, ranges: Ranges):
     def run(batches):
         from tokenizers import Tokenizer
 
@@ -210,12 +238,13 @@ def _tokenise(path: str, end: int):
         pack, counts, last = zstandard.ZstdCompressor(3), np.zeros(t.get_vocab_size() + end + 1, np.int64), np.array([end], np.uint32).tobytes()
         small = np.uint16 if len(counts) <= 1 << 16 else np.uint32
         for batch in batches:
-            out = []
-            for x in encode([x.decode() for x in batch.column("text").to_pylist()]):
+            out, texts = [], batch.column("text").to_pylist()
+            parts = ranges.parts_of(batch.column("doc_id").to_pylist(), texts)
+            for x in encode([x.decode() for x in texts]):
                 ids = np.frombuffer(x + last, np.uint32)
                 counts += np.bincount(ids, minlength=len(counts))
                 out.append(pack.compress(ids.astype(small).tobytes()))
-            yield pa.record_batch([batch.column("part"), batch.column("doc_id"), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
+            yield pa.record_batch([pa.array(parts, pa.int32()), batch.column("doc_id"), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
         yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([small().itemsize], pa.int64()), pa.array([pack.compress(counts.tobytes())], pa.binary())], ["part", "doc_id", "ids"])
 
     return run
@@ -254,7 +283,7 @@ def _write(folder: str, width: int):
     return run
 
 
-def _read(folder: str):
+def _read(folder: str, wanted: frozenset | None):
     def run(batches):
         t, index, name = None, None, None
         for batch in batches:
@@ -265,14 +294,21 @@ def _read(folder: str):
                     if name != path:
                         index, name = read_index(f), path
                     b = index[block]
+                    mine = [i for i, d in enumerate(b["docs"]) if wanted is None or d in wanted]
+                    if not mine:
+                        continue
                     f.seek(b["at"])
                     data = f.read(b["bytes"])
                 if zlib.crc32(data) != b["crc32"]:
                     raise ValueError(f"{path}: block {block} is damaged")
-                ids = decode_block(t, data).astype("<u4").tobytes()
                 ends = np.cumsum(b["lengths"])
                 starts = ends - b["lengths"]
-                yield pa.record_batch([pa.array(b["docs"], pa.int64()), pa.array(start + starts), pa.array([ids[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], ["doc_id", "start", "ids"])
+                if wanted is None:
+                    ids = decode_block(t, data).astype("<u4").tobytes()
+                    found = [ids[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                else:
+                    found = [slice_block(t, data, int(starts[i]), int(ends[i])).astype("<u4").tobytes() for i in mine]
+                yield pa.record_batch([pa.array([b["docs"][i] for i in mine], pa.int64()), pa.array(start + starts[mine]), pa.array(found, pa.binary())], ["doc_id", "start", "ids"])
 
     return run
 
@@ -283,12 +319,11 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 2, key: str = "
     C.prepare(spark)
     scratch = C.Scratch(spark, "rans")
     docs = C.id_and_text(docs, key, text)
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    size, empty = (x or 0 for x in docs.agg(F.sum(F.length("text")), F.sum(F.when(F.col("doc_id").isNull(), F.length("text") + 1))).first())
     parts = min(RANGES, max(1, -(-size // SHARD_TEXT)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    bounds = ",".join(f"{x}L" for x in sorted(set(bounds or [])))
-    part = F.expr(f"case when doc_id is null then 0 else size(filter(array({bounds}), b -> doc_id > b)) end") if bounds else F.lit(0)
-    told = scratch.write(docs.withColumn("part", part.cast("int")).mapInArrow(_tokenise(path, end), "part int, doc_id long, ids binary"), "ids")
+    ranges = Ranges(bounds or [], min(RANGES, -(-empty // SHARD_TEXT)))
+    told = scratch.write(docs.mapInArrow(_tokenise(path, end, ranges), "part int, doc_id long, ids binary"), "ids")
     counts = told.where("part = -1").mapInArrow(_sum_counts, "id long, n long, width long").groupBy("id").agg(F.sum("n").alias("n"), F.max("width").alias("width")).orderBy("id").toPandas()  # as many rows as the vocabulary has at most
     if size + len(counts) == 0:
         return spark.createDataFrame([], "part int, block int, start long, n_ids long")
@@ -297,7 +332,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 2, key: str = "
     with at.open_output_stream(name) as f:
         f.write(Table.of_counts(counts["id"].to_numpy(), counts["n"].to_numpy()).to_bytes())
     width = int(counts["width"].max())
-    blocks = told.where("part >= 0").repartition(int(parts), "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(_write(folder, width), "part int, block int, n_ids long")
+    blocks = told.where("part >= 0").repartition(ranges.parts, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(_write(folder, width), "part int, block int, n_ids long")
     blocks = scratch.write(blocks, "blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # RANGES rows at most
     before, rows = 0, []
@@ -309,8 +344,8 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 2, key: str = "
     return blocks.withColumn("inside", inside).join(starts, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("start"), "n_ids")
 
 
-def read(blocks: DataFrame, folder: str) -> DataFrame:
-    """Decodes blocks (part, block, start) in parallel: doc_id, start, ids (little-endian unsigned 32-bit integers)."""
+def read(blocks: DataFrame, folder: str, wanted: list[int] | None = None) -> DataFrame:
+    """Decodes blocks (part, block, start) in parallel: doc_id, start, ids (little-endian unsigned 32-bit integers). wanted: only these documents, each from the checkpoint before it; blocks without one are not read."""
     spark = blocks.sparkSession
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return blocks.select("part", "block", "start").repartition(tasks).mapInArrow(_read(folder), "doc_id long, start long, ids binary")
+    return blocks.select("part", "block", "start").repartition(tasks).mapInArrow(_read(folder, None if wanted is None else frozenset(wanted)), "doc_id long, start long, ids binary")

@@ -22,6 +22,26 @@ def test_block_round_trip_and_checkpoints(n, kinds):
         assert (rans.decode_block(t, data, i) == ids[i * 10 * lanes :]).all()
 
 
+def test_slices_begin_at_checkpoints():
+    r = np.random.default_rng(5)
+    ids = np.minimum(r.zipf(1.3, 50_000), 3000).astype(np.uint32)
+    t = rans.Table.of_counts(*np.unique(ids, return_counts=True))
+    data = rans.encode_block(t, ids, lanes=32, every=20)
+    for _ in range(40):
+        a, b = sorted(r.integers(0, 50_001, 2).tolist())
+        if a < b:
+            assert (rans.slice_block(t, data, a, b) == ids[a:b]).all()
+    assert len(rans.decode_block(t, data, 3, 3 * 20 * 32 + 5)) == 32  # one step
+
+
+def test_ranges():
+    x = rans.Ranges([5, 5, 5, 9, 20], 2)
+    parts = x.parts_of([None, 1, 5, 6, 9, 10, 20, 21, -(2**63)], [b"a"] * 9)
+    assert parts[0] in (0, 1) and parts[1] == 2 and parts[2] in (3, 4, 5) and parts[3:] == [6, 6, 7, 7, 8, 2] and x.parts == 9
+    assert {x.parts_of([5], [str(i).encode()])[0] for i in range(50)} == {3, 4, 5}
+    assert rans.Ranges([], 0).parts_of([3, -1], [b"", b""]) == [0, 0] and rans.Ranges([], 0).parts == 1
+
+
 def test_damage_is_found():
     ids = np.arange(5000, dtype=np.uint32) % 97
     t = rans.Table.of_counts(*np.unique(ids, return_counts=True))
@@ -31,7 +51,7 @@ def test_damage_is_found():
         rans.decode_block(t, bytes(data))
 
 
-def test_documents_come_back(spark):
+def test_documents_come_back(spark, monkeypatch):
     rows = [(i * 37 % 101, f"text {i} " * (i % 9), i) for i in range(300)] + [(7, None, 0), (None, "no id", 0), (-5, "", 0), (7, "z" * 40_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     folder = common.Scratch(spark, "test").folder("shards")
@@ -45,5 +65,15 @@ def test_documents_come_back(spark):
         assert r.start == at
         at += len(r.ids) // 4
     assert [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
+    monkeypatch.setattr(rans, "SHARD_TEXT", 300)  # many shards, and ids of more text than one
+    hot = spark.createDataFrame([*rows, *((7, f"again {i} " * 9, 1) for i in range(60)), *((None, f"none {i} " * 9, 1) for i in range(60))], "doc_id long, text string, ids int")
+    folder = common.Scratch(spark, "test").folder("shards")
+    blocks = rans.write(hot, folder, PATH)
+    out = sorted(rans.read(blocks, folder).collect(), key=lambda r: r.start)
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in out]
+    assert order == sorted(order) and len(out) == hot.count() and blocks.select("part").distinct().count() > 20
+    assert all(a.start + len(a.ids) // 4 == b.start for a, b in zip(out, out[1:], strict=False))
+    some = rans.read(blocks, folder, [7, 100, -5, 10**6]).collect()
+    assert sorted((r.start, bytes(r.ids)) for r in some) == [(r.start, bytes(r.ids)) for r in out if r.doc_id in (7, 100, -5)]
     folder = common.Scratch(spark, "test").folder("none")
     assert rans.read(rans.write(docs.limit(0), folder, PATH), folder).count() == 0
