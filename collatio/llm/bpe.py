@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common as C
-from .chunks import SPACE, Chunked
+from .chunks import SPACE, Chunked, chunk_of
 
 #: The pattern of the byte-level pre-tokenizer (fixed by the file format).
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -67,7 +67,7 @@ class Codec:
         self.sound = np.full(len(names), -1, np.int8)
         self.sound[:256] = 1
         self.merged = 0
-        self.chunked = Chunked(self._encode_chunks, 400_000)
+        self.chunked = Chunked(self._encode_chunks)
 
     def greedy(self, word: bytes) -> list[int]:
         out, at, end, number = [], 0, len(word), self.number
@@ -151,8 +151,8 @@ class Codec:
             out[i] = self.merge(words[i])
         return out
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [WORD.findall(c) for c in chunks]
+    def _encode_chunks(self, keys: list[str]) -> list[bytes]:
+        cut = [WORD.findall(chunk_of(k)) for k in keys]
         words = list(set().union(*cut))
         known = {w: b"".join(map(self.ids.__getitem__, x)) for w, x in zip(words, self.words([w.encode() for w in words]), strict=True)}
         return [b"".join(map(known.__getitem__, c)) for c in cut]

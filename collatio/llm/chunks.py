@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space as Unicode has it; \s of the pre-tokenizer's pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A chunk is a run of white space and the run of other characters after it. The pattern's pieces never reach over a boundary from other characters to white space.
@@ -16,18 +20,19 @@ OTHER = [c for c in map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000,
 PAIRS = ("  ", "\n ", "\n\n", " \n")
 
 
+def odd(text: str) -> bool:
+    """Whether a text has white space other than single spaces and line feeds (or U+0000, which marks chunks): most texts haven't."""
+    return "\0" in text or any(p in text for p in PAIRS) or any(c in text for c in OTHER)
+
+
 def keys(text: str) -> list[str]:
-    """The chunks of a text by key: most texts have single spaces and line feeds only, there a word stands for itself after a space; other chunks begin with a line feed or are marked by U+0000. A text that has that character itself has marked chunks only."""
-    if "\0" in text or any(p in text for p in PAIRS) or any(c in text for c in OTHER):
-        return ["\0" + c for c in CHUNK.findall(text)]
-    out: list[str] = []
-    first = "\0"
-    for line in text.split("\n"):
-        words = line.split(" ")
-        words[0] = first + words[0]
-        out += words
-        first = "\n"
-    return out
+    """The chunks of an odd text, each marked by U+0000."""
+    return ["\0" + c for c in CHUNK.findall(text)]
+
+
+def split(texts: list[str]) -> pa.ListArray:
+    """The chunks of texts that aren't odd, by key: a word stands for itself after a space; one that begins a line begins with the line feed, one that begins a text is marked."""
+    return pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n") for t in texts], pa.string()), " ")
 
 
 def chunk_of(key: str) -> str:
@@ -35,18 +40,45 @@ def chunk_of(key: str) -> str:
 
 
 class Chunked:
-    """Encodes texts by a function of distinct chunks; the cache is emptied beyond keep chunks (about 200 bytes each)."""
+    """Encodes texts by a function of distinct chunks (by key) to ids as little-endian unsigned 32-bit integers; the cache is emptied beyond keep chunks (about 200 bytes each)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 600_000):
         self.encode, self.keep, self.known = encode, keep, {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [keys(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
+    def of(self, distinct: list[str]) -> list[bytes]:
+        out = list(map(self.known.get, distinct))
+        new = [i for i, x in enumerate(out) if x is None]
         if new:
+            names = [distinct[i] for i in new]
+            told = self.encode(names)
+            for i, x in zip(new, told, strict=True):
+                out[i] = x
             if len(self.known) + len(new) > self.keep:
                 self.known.clear()
-                new = list(set().union(*cut))
-            self.known.update(zip(new, self.encode(list(map(chunk_of, new))), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            self.known.update(zip(names[: self.keep], told, strict=False))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, strange = [b""] * len(texts), [odd(t) for t in texts]
+        plain = [i for i, x in enumerate(strange) if not x]
+        if plain:
+            cut = split([texts[i] for i in plain])
+            words = cut.flatten().dictionary_encode()
+            ids = self.of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            begins, of = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+            n = sizes[of]
+            ends = np.cumsum(n)
+            places = np.arange(int(n.sum()))
+            places += np.repeat(begins[of] - ends + n, n)
+            raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+            last = ends[cut.offsets.to_numpy()[1:] - 1].tolist()
+            for i, a, b in zip(plain, [0, *last], last, strict=False):
+                out[i] = raw[4 * a : 4 * b]
+        if len(plain) < len(texts):
+            cut = {i: keys(texts[i]) for i, x in enumerate(strange) if x}
+            distinct = list(set().union(*cut.values()))
+            known = dict(zip(distinct, self.of(distinct), strict=True))
+            for i, c in cut.items():
+                out[i] = b"".join(map(known.__getitem__, c))
+        return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .chunks import Chunked
+from .chunks import Chunked, chunk_of
 
 MAGIC = b"CORANS1\n"
 LOW = np.uint64(1 << 31)
@@ -178,28 +178,28 @@ def _table(folder: str) -> Table:
 
 
 def by_library(t):
-    """Ids of chunks by the tokenizers library. Words after a single space go in joined texts, where a token with that space begins each: one call for many chunks."""
+    """Ids of chunks by the tokenizers library, given their keys. Words after a single space go in joined texts, where a token with that space begins each: one call for many chunks."""
     begins = np.zeros(t.get_vocab_size(), bool)
     for name, i in t.get_vocab().items():
         begins[i] = name[:1] == "\u0120"
     special = [x.content for x in t.get_added_tokens_decoder().values()]
     alone = lambda texts: [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        plain = [c[:1] == " " and c[1:].split() == [c[1:]] and not any(s in c for s in special) for c in texts]
-        out, words = [b""] * len(texts), [i for i, p in enumerate(plain) if p]
-        rest = [i for i, p in enumerate(plain) if not p]
+    def encode(names: list[str]) -> list[bytes]:
+        out, words = [b""] * len(names), [i for i, k in enumerate(names) if k and k[0] not in "\0\n"]
+        rest = [i for i, k in enumerate(names) if not k or k[0] in "\0\n"]
         for k in range(0, len(words), 500):
             some = words[k : k + 500]
-            ids = np.array(t.encode_batch_fast(["".join(texts[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+            text = " " + " ".join([names[i] for i in some])
+            ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(begins[ids])
-            if len(at) == len(some):
+            if len(at) == len(some) and not any(s in text for s in special):
                 raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
                 for i, a, b in zip(some, at, at[1:], strict=False):
                     out[i] = raw[a:b]
-            else:  # white space that str.split doesn't know
+            else:  # a special token's text, or a token of letters that begins with a space for another reason
                 rest += some
-        for i, ids in zip(rest, alone([texts[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, alone([chunk_of(names[i]) for i in rest]), strict=True):
             out[i] = ids
         return out
 
@@ -240,10 +240,11 @@ def _tokenise(path: str, end: int, ranges: Ranges):
         for batch in batches:
             out, texts = [], batch.column("text").to_pylist()
             parts = ranges.parts_of(batch.column("doc_id").to_pylist(), texts)
-            for x in encode([x.decode() for x in texts]):
-                ids = np.frombuffer(x + last, np.uint32)
-                counts += np.bincount(ids, minlength=len(counts))
-                out.append(pack.compress(ids.astype(small).tobytes()))
+            told = encode([x.decode() for x in texts])
+            counts += np.bincount(np.frombuffer(b"".join(told), np.uint32), minlength=len(counts))
+            counts[end] += len(told)
+            for x in told:
+                out.append(pack.compress(np.frombuffer(x + last, np.uint32).astype(small).tobytes()))
             yield pa.record_batch([pa.array(parts, pa.int32()), batch.column("doc_id"), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
         yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([small().itemsize], pa.int64()), pa.array([pack.compress(counts.tobytes())], pa.binary())], ["part", "doc_id", "ids"])
 

@@ -48,7 +48,17 @@ def test_few_words_need_merging():
 def test_chunks_join_to_the_text():
     for text in strings():
         assert "".join(chunks.CHUNK.findall(text)) == text
-        assert "".join(map(chunks.chunk_of, chunks.keys(text))) == text
+        names = chunks.keys(text) if chunks.odd(text) else chunks.split([text]).to_pylist()[0]
+        assert "".join(map(chunks.chunk_of, names)) == text
+
+
+def test_the_cache_is_emptied():
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["ab", "cd", "é", "x\ny", "z  z"]) + str(r.randint(0, 90)) for _ in range(30)) for _ in range(40)]
+    c = chunks.Chunked(lambda names: [chunks.chunk_of(k).encode("utf-32-le") for k in names], keep=50)
+    for i in range(0, 40, 8):
+        assert [x.decode("utf-32-le") for x in c(texts[i : i + 8])] == texts[i : i + 8]
+    assert c([]) == []
 
 
 def test_library_by_joined_chunks():
