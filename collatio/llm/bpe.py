@@ -151,21 +151,22 @@ class Codec:
             out[i] = self.merge(words[i])
         return out
 
-    def _encode_chunks(self, keys: list[str]) -> list[bytes]:
-        cut = [WORD.findall(chunk_of(k)) for k in keys]
+    def _encode_chunks(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [WORD.findall(chunk_of(k)) for k in names]
         words = list(set().union(*cut))
         known = {w: b"".join(map(self.ids.__getitem__, x)) for w, x in zip(words, self.words([w.encode() for w in words]), strict=True)}
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        told = [b"".join(map(known.__getitem__, c)) for c in cut]
+        return np.frombuffer(b"".join(told), "<u4"), np.fromiter(map(len, told), np.int64, len(told)) // 4
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(plain, self.chunked([texts[i] for i in plain]), strict=True):
-            out[i] = ids
+            out[i] = ids.tobytes()
         for i in set(range(len(texts))).difference(plain):
             parts = self.special_cut.split(texts[i])
-            ids = self.chunked(parts[::2])
+            ids = [x.tobytes() for x in self.chunked(parts[::2])]
             for k, s in enumerate(parts[1::2]):
                 ids[k] += self.special[s].to_bytes(4, "little")
             out[i] = b"".join(ids)

@@ -40,45 +40,65 @@ def chunk_of(key: str) -> str:
 
 
 class Chunked:
-    """Encodes texts by a function of distinct chunks (by key) to ids as little-endian unsigned 32-bit integers; the cache is emptied beyond keep chunks (about 200 bytes each)."""
+    """Encodes texts by a function of distinct chunks (by key), which gives all their ids in one array and how many each has. Known chunks have a number; their ids lie in one array. The cache is emptied beyond keep chunks (about 150 bytes each)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 600_000):
-        self.encode, self.keep, self.known = encode, keep, {}
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = 800_000):
+        self.encode, self.keep = encode, keep
+        self.clear()
 
-    def of(self, distinct: list[str]) -> list[bytes]:
-        out = list(map(self.known.get, distinct))
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def of(self, distinct: list[str]) -> np.ndarray:
+        """The numbers of chunks."""
+        out = list(map(self.number.get, distinct))
         new = [i for i, x in enumerate(out) if x is None]
         if new:
-            names = [distinct[i] for i in new]
-            told = self.encode(names)
-            for i, x in zip(new, told, strict=True):
-                out[i] = x
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
-            self.known.update(zip(names[: self.keep], told, strict=False))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out, strange = [b""] * len(texts), [odd(t) for t in texts]
+            if self.number and len(self.number) + len(new) > self.keep:
+                self.clear()
+                return self.of(distinct)
+            names, n = [distinct[i] for i in new], len(self.number)
+            ids, sizes = self.encode(names)
+            self.ids = self._room(self.ids, self.used + len(ids))
+            self.begin, self.size = (self._room(x, n + len(new)) for x in (self.begin, self.size))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.size[n : n + len(new)] = sizes
+            self.begin[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
+            self.number.update(zip(names, range(n, n + len(new)), strict=True))
+            for k, i in enumerate(new, n):
+                out[i] = k
+        return np.array(out, np.int64)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.append(a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype))
+
+    def join(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a sequence of chunks, and where each chunk's end."""
+        n = self.size[chunks]
+        ends = np.cumsum(n)
+        places = np.arange(int(n.sum()))
+        places += np.repeat(self.begin[chunks] - ends + n, n)
+        return self.ids[places], ends
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out, strange = [np.empty(0, np.uint32)] * len(texts), [odd(t) for t in texts]
         plain = [i for i, x in enumerate(strange) if not x]
         if plain:
             cut = split([texts[i] for i in plain])
             words = cut.flatten().dictionary_encode()
-            ids = self.of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            begins, of = np.cumsum(sizes) - sizes, words.indices.to_numpy()
-            n = sizes[of]
-            ends = np.cumsum(n)
-            places = np.arange(int(n.sum()))
-            places += np.repeat(begins[of] - ends + n, n)
-            raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+            ids, ends = self.join(self.of(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()])
             last = ends[cut.offsets.to_numpy()[1:] - 1].tolist()
             for i, a, b in zip(plain, [0, *last], last, strict=False):
-                out[i] = raw[4 * a : 4 * b]
+                out[i] = ids[a:b]
         if len(plain) < len(texts):
             cut = {i: keys(texts[i]) for i, x in enumerate(strange) if x}
             distinct = list(set().union(*cut.values()))
-            known = dict(zip(distinct, self.of(distinct), strict=True))
+            numbers = dict(zip(distinct, self.of(distinct).tolist(), strict=True))
             for i, c in cut.items():
-                out[i] = b"".join(map(known.__getitem__, c))
+                out[i] = self.join(np.array([numbers[k] for k in c], np.int64))[0]
         return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import delete, delete_at_end, new_folder
 
 #: Rows and bytes of an Arrow batch; whole texts travel in them, so that batches stay small.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:

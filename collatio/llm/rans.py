@@ -183,25 +183,31 @@ def by_library(t):
     for name, i in t.get_vocab().items():
         begins[i] = name[:1] == "\u0120"
     special = [x.content for x in t.get_added_tokens_decoder().values()]
-    alone = lambda texts: [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    alone = lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(names: list[str]) -> list[bytes]:
-        out, words = [b""] * len(names), [i for i, k in enumerate(names) if k and k[0] not in "\0\n"]
+    def encode(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        first = [i for i, k in enumerate(names) if k and k[0] not in "\0\n"]
         rest = [i for i, k in enumerate(names) if not k or k[0] in "\0\n"]
-        for k in range(0, len(words), 500):
-            some = words[k : k + 500]
+        order, ids, sizes = [], [], []
+        for k in range(0, len(first), 500):
+            some = first[k : k + 500]
             text = " " + " ".join([names[i] for i in some])
-            ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(begins[ids])
+            (found,) = alone([text])
+            at = np.flatnonzero(begins[found])
             if len(at) == len(some) and not any(s in text for s in special):
-                raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-                for i, a, b in zip(some, at, at[1:], strict=False):
-                    out[i] = raw[a:b]
+                order += some
+                ids.append(found)
+                sizes.append(np.diff(at, append=len(found)))
             else:  # a special token's text, or a token of letters that begins with a space for another reason
                 rest += some
-        for i, ids in zip(rest, alone([chunk_of(names[i]) for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        order += rest
+        told = alone([chunk_of(names[i]) for i in rest])
+        ids, sizes = [*ids, *told], np.concatenate([*sizes, np.array([len(x) for x in told], np.int64)]).astype(np.int64)
+        flat, ends = np.concatenate([*ids, np.empty(0, np.uint32)]), np.cumsum(sizes)
+        back = np.empty(len(names), np.int64)
+        back[order] = np.arange(len(names))
+        n = sizes[back]
+        return flat[np.arange(len(flat)) + np.repeat((ends - sizes)[back] - np.cumsum(n) + n, n)], n
 
     return encode
 
@@ -235,16 +241,17 @@ def _tokenise(path: str, end: int, ranges: Ranges):
             t.no_truncation()
             t.no_padding()
         encode = _TOKENIZERS.get(("chunked", path)) or _TOKENIZERS.setdefault(("chunked", path), Chunked(by_library(t)))
-        pack, counts, last = zstandard.ZstdCompressor(3), np.zeros(t.get_vocab_size() + end + 1, np.int64), np.array([end], np.uint32).tobytes()
+        pack, counts = zstandard.ZstdCompressor(1), np.zeros(max(t.get_vocab_size(), end + 1), np.int64)
         small = np.uint16 if len(counts) <= 1 << 16 else np.uint32
         for batch in batches:
             out, texts = [], batch.column("text").to_pylist()
             parts = ranges.parts_of(batch.column("doc_id").to_pylist(), texts)
             told = encode([x.decode() for x in texts])
-            counts += np.bincount(np.frombuffer(b"".join(told), np.uint32), minlength=len(counts))
+            counts += np.bincount(np.concatenate([*told, np.empty(0, np.uint32)]), minlength=len(counts))
             counts[end] += len(told)
+            mark = np.array([end], small).tobytes()
             for x in told:
-                out.append(pack.compress(np.frombuffer(x + last, np.uint32).astype(small).tobytes()))
+                out.append(pack.compress(x.astype(small).tobytes() + mark))
             yield pa.record_batch([pa.array(parts, pa.int32()), batch.column("doc_id"), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
         yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([small().itemsize], pa.int64()), pa.array([pack.compress(counts.tobytes())], pa.binary())], ["part", "doc_id", "ids"])
 
