@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated.
 
 Terms are words in lower case, without what is no letter or digit at their edges, cut to their first STEM characters. Every term of a text counts: its weight is (1 + ln n) * idf * (1 + STRESS * lean). idf is that of the labelled examples; lean is how far a term is likelier in toxic examples than in others (the log of the ratio less twice its standard error, 0 at least), so that terms that tell the labels apart weigh more; none is dropped, and a term that no example has counts in the text's length.
-Examples: at most TOXIC toxic and OTHER other texts of least hash of doc_id, each a unit vector. They lie in blocks of BLOCK, like ones together. The WIDE most frequent terms have their postings as rows of blocks, with the largest weight of each block; the postings of the others are short and added up first. A text's NEAREST nearest examples are found exactly: blocks are visited in the order of their bounds (that sum, plus the text's weights times the blocks' largest ones) until no bound exceeds the last neighbour.
+Examples: at most TOXIC toxic and OTHER other texts of least hash of doc_id, each a unit vector. They lie in blocks of BLOCK, like ones together. The WIDE most frequent terms have their postings as rows of blocks, with the largest weight of each block; the postings of the others are short and added up first. A text's NEAREST nearest examples are found exactly: the blocks of the largest bounds (that sum, plus the text's weights times the blocks' largest ones) are visited first, then all others whose bound exceeds the last neighbour so far.
 Each neighbour votes with its cosine; PRIOR votes go to the share of toxic texts among all labelled ones, which keeps scores moderate where evidence is thin. The share of votes becomes a probability by a logistic curve fitted on at most CHECKED labelled texts that are no examples. The neighbours' ids are the evidence.
 
 Learning takes the rows of labels whose crc32(doc_id as text) mod 5 is not 0; examples come from remainders 1 to 3, the curve from 4. Nulls: a null text is empty; texts without a known term score what the share alone gives. A null label is no label; of several rows for a doc_id the larger label counts; of several texts with a doc_id the least is the example. Without any labels the score is 0. Rows that repeat give equal rows; whole texts of any length are read; an empty table gives an empty result.
@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from . import common as C
 
 TOXIC, OTHER, CHECKED = 2000, 4000, 1500
 STEM, STRESS, WIDE = 5, 6.0, 1000
-NEAREST, PRIOR, BLOCK, AT_ONCE = 15, 0.35, 64, 16
+NEAREST, PRIOR, BLOCK, AT_ONCE = 15, 0.35, 64, 8
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -30,13 +31,21 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("long").cast("string").cast("binary")) % parts
 
 
+def stem(word: bytes) -> str:
+    """The term of a word with A-Z in lower case."""
+    w = word.decode("utf-8", "replace")
+    if not w.isalnum():
+        w = EDGE.sub("", w)
+    return (w if w.isascii() else w.lower())[:STEM]
+
+
 class Stems(dict):
     """The term of a word, kept for words met before."""
 
     def __missing__(self, word: bytes) -> str:
         if len(self) > C.WordHashes.KEEP:
             self.clear()
-        self[word] = out = EDGE.sub("", word.decode("utf-8", "replace").lower())[:STEM]
+        self[word] = out = stem(word)
         return out
 
 
@@ -55,29 +64,44 @@ def leaning(toxic: np.ndarray, other: np.ndarray, p: int, n: int) -> np.ndarray:
     return np.maximum(0, np.log(a / (p + 1)) - np.log(b / (n + 1)) - 2 * np.sqrt(1 / a + 1 / b))
 
 
+class Numbers(dict):
+    """The number of a word's term, kept for words met before: below -1 by hash for terms without one, -1 where nothing is left of a word."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > C.WordHashes.KEEP:
+            self.clear()
+        term = stem(word)
+        out = self.number.get(term) if term else -1
+        self[word] = out = -2 - (xxhash.xxh3_64_intdigest(term) >> 2) if out is None else out
+        return out
+
+
 class Weights:
     """Terms by number, their weights, and the vectors of texts."""
 
     def __init__(self, terms: list[str], toxic: np.ndarray, other: np.ndarray, p: int, n: int):
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = ((np.log((p + n + 1) / (toxic + other + 1)) + 1) * (1 + STRESS * leaning(toxic, other, p, n))).astype(np.float32)
-        self.unknown = np.log(p + n + 1) + 1
+        self.unknown, self.of = np.log(p + n + 1) + 1, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"of": None}
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Known terms, ascending, and their weights; the whole text's vector, unknown terms included, has length 1."""
-        get, known, n, rest = self.number.get, [], [], []
-        for t, k in terms_of(text).items():
-            i = get(t)
-            if i is None:
-                rest.append(k)
-            else:
-                known.append(i)
-                n.append(k)
-        at = np.array(known, np.int64)
-        w = (1 + np.log(np.array(n, np.float64))) * self.idf[at]
-        far = (1 + np.log(np.array(rest, np.float64))) * self.unknown
-        order = np.argsort(at)
-        return at[order], (w / np.sqrt(max(1e-30, (w * w).sum() + (far * far).sum())))[order].astype(np.float32)
+        if self.of is None:
+            self.of = Numbers(self.number)
+        words = C.words_of(text)
+        x = np.sort(np.fromiter(map(self.of.__getitem__, words), np.int64, len(words)))
+        new = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+        at, tf = x[new], 1 + np.log(np.diff(new, append=len(x)))
+        known = np.searchsorted(at, 0)
+        far = tf[: np.searchsorted(at, -1)] * self.unknown
+        at, w = at[known:], tf[known:] * self.idf[at[known:]]
+        return at, (w / np.sqrt(max(1e-30, w @ w + far @ far))).astype(np.float32)
 
 
 class Index:
@@ -116,17 +140,18 @@ class Index:
         sums = np.bincount(self.item[posting], self.weight[posting] * np.repeat(u, n), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         bound = sums.max(axis=1) + v @ self.most[r]
         order = np.argsort(-bound, kind="stable")
-        places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for i in range(0, self.blocks, AT_ONCE):
-            some = order[i : i + AT_ONCE]
-            if bound[some[0]] <= 0 or (len(cosines) == NEAREST and bound[some[0]] < cosines[-1] - 1e-5):
+        places, cosines, at = np.zeros(0, np.int64), np.zeros(0), 0
+        while at < self.blocks and bound[order[at]] > 0:
+            least = cosines[-1] - 1e-5 if len(cosines) == NEAREST else 0.0
+            end = at + AT_ONCE if not at else int(np.searchsorted(-bound[order], -least, side="right"))  # first the best blocks, then all that may still matter
+            some = order[at:end]
+            if not len(some):
                 break
             x = (sums[some] + np.matmul(v, self.rows[some[:, None], r])).ravel()
-            spot = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = np.flatnonzero(x > max(0, cosines[-1] - 1e-9 if len(cosines) == NEAREST else 0))
-            places, cosines = np.append(places, spot[hit]), np.append(cosines, x[hit])
+            hit = np.flatnonzero(x > max(0.0, least))
+            places, cosines = np.append(places, (some[hit // BLOCK] * BLOCK + hit % BLOCK)), np.append(cosines, x[hit])
             best = np.lexsort((places, -cosines))[:NEAREST]
-            places, cosines = places[best], cosines[best]
+            places, cosines, at = places[best], cosines[best], max(end, at + 1)
         return places, cosines
 
     def vote(self, at: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
