@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -63,6 +65,23 @@ def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
 
 
+def uncollected(run: Callable) -> Callable:
+    """The same function of batches, with the search for cyclic garbage at rest inside a batch: it would walk the many short lists that a batch makes, which hold no cycles. After each batch it looks at what is new."""
+
+    def calm(batches):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            for out in run(batches):
+                yield out
+                gc.collect(1)
+        finally:
+            if was:
+                gc.enable()
+
+    return calm
+
+
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     """The broadcast hint if df (a table already written) has at most so many rows, else df itself, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,7 +8,9 @@ Nulls: a null text is empty and has the end id alone; a null doc_id sorts first.
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from .bpe import WORD, byte_letters
 from .chunks import Chunked, chunk_of
 
 MAGIC = b"CORANS1\n"
@@ -28,6 +31,7 @@ LOW = np.uint64(1 << 31)
 LANES, BLOCK, EVERY = 4096, 1 << 20, 128
 #: Bytes of text that a shard is made for, and ranges at most.
 SHARD_TEXT, RANGES = 24 << 20, 10_000
+LATIN = re.compile("[\0-\u024f]*").fullmatch
 
 
 class Table:
@@ -178,28 +182,48 @@ def _table(folder: str) -> Table:
 
 
 def by_library(t):
-    """Ids of chunks by the tokenizers library, given their keys. Words after a single space go in joined texts, where a token with that space begins each: one call for many chunks."""
+    """Ids of chunks by the tokenizers library, given their keys. Words after a single space go in joined texts, where a token with that space begins each: one call for many chunks.
+
+    Where the file has the plain byte-level pre-tokenizer, words of Latin letters, digits and signs (whose classes no edition of Unicode has changed) are cut by its pattern here, and only their pieces go to the library's model: that spares the library's offsets.
+    """
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
     begins = np.zeros(t.get_vocab_size(), bool)
     for name, i in t.get_vocab().items():
         begins[i] = name[:1] == "\u0120"
     special = [x.content for x in t.get_added_tokens_decoder().values()]
     alone = lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    cut, model = t.pre_tokenizer, t.model
+    plain = t.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and isinstance(model, BPE)
+    letters = "".join(sorted(byte_letters(), key=byte_letters().get)[:255]) + " "  # UTF-8 has no byte 255; here U+DCFF becomes it and parts pieces
+
+    def by_model(pieces: str) -> np.ndarray:
+        names = codecs.charmap_decode(pieces.encode("utf-8", "surrogateescape"), "strict", letters)[0]
+        return np.array([x.id for piece in names.split(" ") for x in model.tokenize(piece)], np.uint32)
 
     def encode(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        first = [i for i, k in enumerate(names) if k and k[0] not in "\0\n"]
-        rest = [i for i, k in enumerate(names) if not k or k[0] in "\0\n"]
+        rest, other, words, signs = [], [], [], []
+        for i, k in enumerate(names):
+            if not k or k[0] in "\0\n":
+                rest.append(i)
+            elif plain and (k.isascii() or LATIN(k)):
+                (words if k.isalpha() else signs).append(i)
+            else:
+                other.append(i)
         order, ids, sizes = [], [], []
-        for k in range(0, len(first), 500):
-            some = first[k : k + 500]
-            text = " " + " ".join([names[i] for i in some])
-            (found,) = alone([text])
-            at = np.flatnonzero(begins[found])
-            if len(at) == len(some) and not any(s in text for s in special):
-                order += some
-                ids.append(found)
-                sizes.append(np.diff(at, append=len(found)))
-            else:  # a special token's text, or a token of letters that begins with a space for another reason
-                rest += some
+        for kind, ids_of in ((words, lambda x: by_model(x.replace(" ", "\udcff ")[1:])), (signs, lambda x: by_model("\udcff".join(WORD.findall(x)))), (other, lambda x: alone([x])[0])):
+            for k in range(0, len(kind), 500):
+                some = kind[k : k + 500]
+                text = " " + " ".join([names[i] for i in some])
+                found = ids_of(text)
+                at = np.flatnonzero(begins[found])
+                if len(at) == len(some) and not any(s in text for s in special):
+                    order += some
+                    ids.append(found)
+                    sizes.append(np.diff(at, append=len(found)))
+                else:  # a special token's text, or a token of letters that begins with a space for another reason
+                    rest += some
         order += rest
         told = alone([chunk_of(names[i]) for i in rest])
         ids, sizes = [*ids, *told], np.concatenate([*sizes, np.array([len(x) for x in told], np.int64)]).astype(np.int64)
@@ -331,7 +355,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 2, key: str = "
     parts = min(RANGES, max(1, -(-size // SHARD_TEXT)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     ranges = Ranges(bounds or [], min(RANGES, -(-empty // SHARD_TEXT)))
-    told = scratch.write(docs.mapInArrow(_tokenise(path, end, ranges), "part int, doc_id long, ids binary"), "ids")
+    told = scratch.write(docs.mapInArrow(C.uncollected(_tokenise(path, end, ranges)), "part int, doc_id long, ids binary"), "ids")
     counts = told.where("part = -1").mapInArrow(_sum_counts, "id long, n long, width long").groupBy("id").agg(F.sum("n").alias("n"), F.max("width").alias("width")).orderBy("id").toPandas()  # as many rows as the vocabulary has at most
     if size + len(counts) == 0:
         return spark.createDataFrame([], "part int, block int, start long, n_ids long")

@@ -1,8 +1,11 @@
+import gc
+import random
+
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from collatio.llm import common, rans
+from collatio.llm import chunks, common, rans
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,3 +80,26 @@ def test_documents_come_back(spark, monkeypatch):
     assert sorted((r.start, bytes(r.ids)) for r in some) == [(r.start, bytes(r.ids)) for r in out if r.doc_id in (7, 100, -5)]
     folder = common.Scratch(spark, "test").folder("none")
     assert rans.read(rans.write(docs.limit(0), folder, PATH), folder).count() == 0
+
+
+def test_chunks_have_the_librarys_ids():
+    t = Tokenizer.from_file(PATH)
+    encode, r = rans.by_library(t), random.Random(1)
+    letters = "ab'sdtrve1²½éß.ªº_-ÿŸĿɏ\x01\x1f\x7f\xad·、中🎉ʰ<|>"
+    single = [c for c in map(chr, range(0x250)) if not chunks.odd(c) and c not in " \n"]
+    for names in (
+        *([*{"".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(700)}, "<|endoftext|>", "a<|endoftext|>b", "", "\0x", "\ny"] for _ in range(20)),
+        [c + "a" for c in single] + ["b" + c for c in single] + ["'s" + c for c in single],
+        [],
+    ):
+        ids, n = encode(names)
+        want = [e.ids for e in t.encode_batch([chunks.chunk_of(k) for k in names], add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_uncollected_gives_the_same_and_wakes_the_collector():
+    assert gc.isenabled()
+    assert list(common.uncollected(lambda x: ((i, gc.isenabled()) for i in x))(range(3))) == [(0, False), (1, False), (2, False)] and gc.isenabled()
+    with pytest.raises(ZeroDivisionError):
+        list(common.uncollected(lambda x: (1 // i for i in x))([1, 0]))
+    assert gc.isenabled()
