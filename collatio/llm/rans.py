@@ -31,6 +31,9 @@ LOW = np.uint64(1 << 31)
 LANES, BLOCK, EVERY = 4096, 1 << 20, 128
 #: Bytes of text that a shard is made for, and ranges at most.
 SHARD_TEXT, RANGES = 24 << 20, 10_000
+#: Chunks that a worker remembers.
+KEEP = 500_000
+#: Words of characters that have each been a letter, a number or neither in all editions of Unicode since 5.0.
 LATIN = re.compile("[\0-\u024f]*").fullmatch
 
 
@@ -184,7 +187,7 @@ def _table(folder: str) -> Table:
 def by_library(t):
     """Ids of chunks by the tokenizers library, given their keys. Words after a single space go in joined texts, where a token with that space begins each: one call for many chunks.
 
-    Where the file has the plain byte-level pre-tokenizer, words of Latin letters, digits and signs (whose classes no edition of Unicode has changed) are cut by its pattern here, and only their pieces go to the library's model: that spares the library's offsets.
+    Where the file has the plain byte-level pre-tokenizer, words of Latin letters, digits and signs (below U+0250, where editions of Unicode agree) are cut by its pattern here, and only their pieces go to the library's model: that spares the library's offsets.
     """
     from tokenizers.models import BPE
     from tokenizers.pre_tokenizers import ByteLevel
@@ -264,7 +267,7 @@ def _tokenise(path: str, end: int, ranges: Ranges):
             t = _TOKENIZERS[path] = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
-        encode = _TOKENIZERS.get(("chunked", path)) or _TOKENIZERS.setdefault(("chunked", path), Chunked(by_library(t)))
+        encode = _TOKENIZERS.get(("chunked", path)) or _TOKENIZERS.setdefault(("chunked", path), Chunked(by_library(t), KEEP))
         pack, counts = zstandard.ZstdCompressor(1), np.zeros(max(t.get_vocab_size(), end + 1), np.int64)
         small = np.uint16 if len(counts) <= 1 << 16 else np.uint32
         for batch in batches:
