@@ -1,6 +1,6 @@
 """Language-model scores: a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Restaurants of words (Teh, A Hierarchical Bayesian Language Model based on Pitman-Yor Processes, 2006): one for each context, the word before (or the beginning of a text), that occurs LEAST times or more in training; rarer contexts are their parent. All contexts share one parent restaurant. Each table of a context is a customer of the parent.
+Restaurants of words (Teh, A Hierarchical Bayesian Language Model based on Pitman-Yor Processes, 2006): one for each context, the word before (or the beginning of a text), that training has, if only once; a context that training lacks is its parent. All contexts share one parent restaurant. Each table of a context is a customer of the parent.
 
 Restaurants of symbols (with a spelling model as base, as in Mochihashi, Yamada, Ueda, Bayesian Unsupervised Word Segmentation, 2009): the base of the parent is a chain of restaurants of symbols with contexts of 0 to ORDER symbols before; contexts share their parent, the context without its farthest symbol. Each table of the parent of words is a customer of the chain. So a word that training lacks is scored by how its letters follow each other. Symbols are classes of bytes (a class's bytes are equally likely), so the chain has a proven bound: 64 ** (ORDER + 1) cells.
 
@@ -29,7 +29,9 @@ from . import common as C
 
 ORDER, SYMBOLS = 3, 64
 DISCOUNTS, STRENGTH = (0.2, 0.4, 0.6, 0.7), 1.0
-SWEEPS, KEPT, ROUNDS, LEAST = 6, 3, 1, 2
+SWEEPS, KEPT, ROUNDS = 6, 3, 1
+#: Customers from which a context has a restaurant: without any it is its parent, so this leaves nothing out.
+LEAST = 1
 PROPOSALS, UNIT = 6, 64
 CHUNK, WORDS, PAIRS = 6_000_000, 8_000_000, 4_000_000
 FOLDS, HELD = 7, 2
@@ -200,9 +202,9 @@ def load(folder: str, name: str) -> dict[str, bytes]:
 
 
 def dealt(part: np.ndarray) -> list[tuple[int, int, int]]:
-    """(part, begin, end) of an ascending array of parts."""
+    """(part, begin, end) of an ascending array of parts; of an empty one nothing."""
     numbers, begin = np.unique(part, return_index=True)
-    return list(zip(numbers.tolist(), begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True))
+    return list(zip(numbers.tolist(), begin.tolist(), [*begin.tolist(), len(part)][1:], strict=True))
 
 
 def table(columns: str, rows: list[tuple]) -> pa.Table:

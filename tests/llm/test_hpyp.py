@@ -144,6 +144,19 @@ def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
     assert one == two == three
 
 
+def test_contexts_of_one_token_have_restaurants(spark):
+    """Each word is in training once: all its pairs are customers, and a held-out copy is likelier than the words in another order."""
+    assert hpyp.dealt(np.zeros(0, np.int64)) == []  # no pair is there twice
+    text = [f"w{i}" for i in range(300)]
+    mixed = random.Random(1).sample(text, len(text))
+    assert seated(spark, [(1, " ".join(text))], parts=1).came == len(text) + 1
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    assert zlib.crc32(b"0") % 7 != 2
+    rows = [(0, " ".join(text)), (held[0], " ".join(text)), (held[1], " ".join(mixed))]
+    got = {r.doc_id: r.score for r in hpyp.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 100
+
+
 def test_better_than_single_words(spark):
     out = hpyp.score(spark.createDataFrame(corpus(3, 600), "doc_id long, text string")).where("held_out").collect()
     assert sum(r.score for r in out) > 0.8 * sum(r.base_score for r in out)
