@@ -39,10 +39,14 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
 
+#: Characters of texts whose chunks are found at once: what is made of them for the while takes some 60 bytes a character.
+AT_ONCE = 1 << 20
+
+
 class Chunked:
-    """Encodes texts by a function of distinct chunks (by key), which gives all their ids in one array and how many each has. Known chunks have a number; their ids lie in one array. The cache is emptied beyond keep chunks (about 150 bytes each)."""
+    """Encodes texts by a function of distinct chunks (by key), which gives all their ids in one array and how many each has. Known chunks have a number; their ids lie in one array. The cache is emptied beyond keep chunks (about 200 bytes each)."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = 400_000):
         self.encode, self.keep = encode, keep
         self.clear()
 
@@ -86,6 +90,17 @@ class Chunked:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= AT_ONCE:
+                size += len(texts[end])
+                end += 1
+            out += self._some(texts[at:end])
+            at = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
         out, strange = [np.empty(0, np.uint32)] * len(texts), [odd(t) for t in texts]
         plain = [i for i, x in enumerate(strange) if not x]
         if plain:

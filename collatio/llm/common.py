@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +84,48 @@ def uncollected(run: Callable) -> Callable:
     return calm
 
 
+_HELD: dict[tuple, object] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Arrow's pool and the C library keep it otherwise as long as the worker lives, also while it waits for work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def held(operator: str, key: object, make: Callable):
+    """What a worker keeps of an operator from task to task. A worker serves one operator after another; what it keeps of others goes."""
+    leave(operator)
+    if (operator, key) not in _HELD:
+        _HELD[operator, key] = make()
+    return _HELD[operator, key]
+
+
+def leave(operator: str = "") -> None:
+    """Lets go what this process keeps of operators other than this one."""
+    others = [k for k in _HELD if k[0] != operator]
+    for k in others:
+        del _HELD[k]
+    if others:
+        WORDS.clear()
+        gc.collect()
+
+
+def lean(operator: str, run: Callable) -> Callable:
+    """The same function of batches in a worker that keeps little: nothing of other operators, and no freed memory after a batch."""
+
+    def tidy(batches):
+        leave(operator)
+        for out in run(batches):
+            yield out
+            del out
+            release()
+
+    return tidy
+
+
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     """The broadcast hint if df (a table already written) has at most so many rows, else df itself, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

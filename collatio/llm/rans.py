@@ -258,36 +258,40 @@ class Ranges:
         return [zlib.crc32(x) % self.nulls if i is None else p for i, p, x in zip(ids, out.tolist(), texts, strict=True)]
 
 
+def _encoder(path: str):
+    """The library's tokenizer, and its encoder of texts by chunks."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t, Chunked(by_library(t), KEEP)
+
+
 def _tokenise(path: str, end: int, ranges: Ranges):
     def run(batches):
-        from tokenizers import Tokenizer
-
-        t = _TOKENIZERS.get(path)
-        if t is None:
-            t = _TOKENIZERS[path] = Tokenizer.from_file(path)
-            t.no_truncation()
-            t.no_padding()
-        encode = _TOKENIZERS.get(("chunked", path)) or _TOKENIZERS.setdefault(("chunked", path), Chunked(by_library(t), KEEP))
+        t, encode = C.held("rans", path, lambda: _encoder(path))
         pack, counts = zstandard.ZstdCompressor(1), np.zeros(max(t.get_vocab_size(), end + 1), np.int64)
         small = np.uint16 if len(counts) <= 1 << 16 else np.uint32
-        for batch in batches:
+        mark = np.array([end], small).tobytes()
+
+        def coded(batch):  # what it makes goes before the next batch comes
             out, texts = [], batch.column("text").to_pylist()
             parts = ranges.parts_of(batch.column("doc_id").to_pylist(), texts)
             told = encode([x.decode() for x in texts])
-            counts += np.bincount(np.concatenate([*told, np.empty(0, np.uint32)]), minlength=len(counts))
+            np.add(counts, np.bincount(np.concatenate([*told, np.empty(0, np.uint32)]), minlength=len(counts)), out=counts)
             counts[end] += len(told)
-            mark = np.array([end], small).tobytes()
             for x in told:
                 out.append(pack.compress(x.astype(small).tobytes() + mark))
-            yield pa.record_batch([pa.array(parts, pa.int32()), batch.column("doc_id"), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
+            return pa.record_batch([pa.array(parts, pa.int32()), batch.column("doc_id"), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
+
+        for batch in batches:
+            yield coded(batch)
         yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([small().itemsize], pa.int64()), pa.array([pack.compress(counts.tobytes())], pa.binary())], ["part", "doc_id", "ids"])
 
     return run
 
 
-_TOKENIZERS: dict = {}
-
-
 def _sum_counts(batches):
     """Adds up the counts of the tasks that this one reads: a row for each id that occurs."""
     total, small = None, 0
@@ -358,7 +362,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 2, key: str = "
     parts = min(RANGES, max(1, -(-size // SHARD_TEXT)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     ranges = Ranges(bounds or [], min(RANGES, -(-empty // SHARD_TEXT)))
-    told = scratch.write(docs.mapInArrow(C.uncollected(_tokenise(path, end, ranges)), "part int, doc_id long, ids binary"), "ids")
+    told = scratch.write(docs.mapInArrow(C.lean("rans", C.uncollected(_tokenise(path, end, ranges))), "part int, doc_id long, ids binary"), "ids")
     counts = told.where("part = -1").mapInArrow(_sum_counts, "id long, n long, width long").groupBy("id").agg(F.sum("n").alias("n"), F.max("width").alias("width")).orderBy("id").toPandas()  # as many rows as the vocabulary has at most
     if size + len(counts) == 0:
         return spark.createDataFrame([], "part int, block int, start long, n_ids long")
@@ -367,7 +371,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 2, key: str = "
     with at.open_output_stream(name) as f:
         f.write(Table.of_counts(counts["id"].to_numpy(), counts["n"].to_numpy()).to_bytes())
     width = int(counts["width"].max())
-    blocks = told.where("part >= 0").repartition(ranges.parts, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(_write(folder, width), "part int, block int, n_ids long")
+    blocks = told.where("part >= 0").repartition(ranges.parts, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(C.lean("rans shards", _write(folder, width)), "part int, block int, n_ids long")
     blocks = scratch.write(blocks, "blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # RANGES rows at most
     before, rows = 0, []
@@ -383,4 +387,4 @@ def read(blocks: DataFrame, folder: str, wanted: list[int] | None = None) -> Dat
     """Decodes blocks (part, block, start) in parallel: doc_id, start, ids (little-endian unsigned 32-bit integers). wanted: only these documents, each from the checkpoint before it; blocks without one are not read."""
     spark = blocks.sparkSession
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return blocks.select("part", "block", "start").repartition(tasks).mapInArrow(_read(folder, None if wanted is None else frozenset(wanted)), "doc_id long, start long, ids binary")
+    return blocks.select("part", "block", "start").repartition(tasks).mapInArrow(C.lean("rans shards", _read(folder, None if wanted is None else frozenset(wanted))), "doc_id long, start long, ids binary")

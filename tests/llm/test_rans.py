@@ -103,3 +103,25 @@ def test_uncollected_gives_the_same_and_wakes_the_collector():
     with pytest.raises(ZeroDivisionError):
         list(common.uncollected(lambda x: (1 // i for i in x))([1, 0]))
     assert gc.isenabled()
+
+
+def test_chunks_are_found_in_parts_of_a_batch():
+    told = []
+
+    def code(names):
+        told.append(sum(map(len, names)))
+        return np.array([len(k) for k in names], np.uint32), np.ones(len(names), np.int64)
+
+    texts = [" ".join(f"{i}-{k}" for k in range(20_000)) for i in range(30)]
+    ids = chunks.Chunked(code, rans.KEEP)([*texts, "", "x" * (2 << 20)])
+    assert [len(x) for x in ids] == [20_000] * 30 + [1, 1] and len(told) > 4 and max(told[:-1]) <= 1 << 20
+
+
+def test_a_worker_keeps_the_things_of_one_operator():
+    first = common.held("a", 1, list)
+    assert common.held("a", 1, list) is first and common.held("a", 2, dict) == {}
+    seen = list(common.lean("a", lambda x: (common.held("a", 1, list) is first for _ in x))([0, 0]))
+    assert seen == [True, True]
+    assert list(common.lean("b", lambda x: x)([3, 4])) == [3, 4] and common.held("a", 1, list) is not first
+    common.leave()
+    assert not common._HELD
