@@ -176,23 +176,22 @@ class Codec:
         return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return C.held("bpe", path, lambda: Codec(path))
 
 
 def _run(path: str):
     def run(batches):
         c = codec(path)
-        for batch in batches:
+
+        def coded(batch):  # what it makes goes before the next batch comes
             ids = c.encode_batch([x.decode() for x in batch.column(1).to_pylist()])
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+            return pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+
+        for batch in batches:
+            yield coded(batch)
 
-    return run
+    return C.lean("bpe", run)
 
 
 def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:

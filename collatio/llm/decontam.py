@@ -232,6 +232,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
         if rounds > 1:
             whole = (count, (total or 0) / max(1, count), longest or 0, {bytes(r["word"]): r["df"] for r in counts.where(F.col("round") == k).toLocalIterator()})
         index = Index([(r["doc_id"], bytes(r["text"])) for r in some.toLocalIterator()], whole)
-        found = docs.mapInArrow(_run(spark.sparkContext.broadcast(index)), SCHEMA)
+        found = docs.mapInArrow(C.lean("decontam", _run(spark.sparkContext.broadcast(index))), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return (spark.createDataFrame([], SCHEMA) if out is None else out).distinct()

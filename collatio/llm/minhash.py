@@ -123,7 +123,7 @@ def _tokens(k: int):
 
 def prefixes(texts: DataFrame, scratch: C.Scratch, k: int, percent: int) -> DataFrame:
     """token, rep, n (size of the set), place: of the first elements of each set, rarest first, those that another set has too."""
-    tokens = scratch.write(texts.mapInArrow(_tokens(k), "token long, rep long, n long"), "tokens")
+    tokens = scratch.write(texts.mapInArrow(C.lean("minhash", _tokens(k)), "token long, rep long, n long"), "tokens")
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     sets = tokens.join(common, "token").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))  # a text's shingles
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -173,7 +173,7 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: C.Scratch, k: int, perc
     dealt = pairs.join(fans, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).alias("fan"))
     x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).join(fans, "a", "left").select("a", "a_text", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("fan"))
     y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    return scratch.write(dealt.join(y, "b").join(x, ["a", "fan"]).select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
+    return scratch.write(dealt.join(y, "b").join(x, ["a", "fan"]).select("a", "b", "a_text", "b_text").mapInArrow(C.lean("minhash", _verify(k, percent)), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def sketched(docs: DataFrame, scratch: C.Scratch, shingle: int) -> DataFrame:
-    return scratch.write(docs.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, set_key binary, coords binary, bands array<long>"), "sketches")
+    return scratch.write(docs.mapInArrow(C.lean("minhash", _sketches(shingle)), "doc_id long, n_shingles long, set_key binary, coords binary, bands array<long>"), "sketches")
 
 
 def classed(docs: DataFrame, each: DataFrame, scratch: C.Scratch, shingle: int, percent: int) -> DataFrame:

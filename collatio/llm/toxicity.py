@@ -227,12 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> tuple[
     counts = examples.select("label", "text").mapInArrow(_count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).orderBy("term").toArrow()
     weights = Weights(counts["term"].to_pylist(), counts["toxic"].to_numpy(), counts["other"].to_numpy(), p, n)
     shared = spark.sparkContext.broadcast(weights)
-    vectors = examples.mapInArrow(_vectors(shared), "doc_id long, label int, at binary, weights binary").toArrow()
+    vectors = examples.mapInArrow(C.lean("toxicity", _vectors(shared)), "doc_id long, label int, at binary, weights binary").toArrow()
     found = [(i, y, np.frombuffer(at, np.int32), np.frombuffer(w, np.float32)) for i, y, at, w in zip(*(c.to_pylist() for c in vectors.columns), strict=True)]
     index = Index(found, len(weights.number), share)
     shared.destroy()
     shared = spark.sparkContext.broadcast((weights, index, None))
-    votes = checked.mapInArrow(_votes(shared), "label int, vote double").toArrow()
+    votes = checked.mapInArrow(C.lean("toxicity", _votes(shared)), "label int, vote double").toArrow()
     shared.destroy()
     return weights, index, curve(votes["vote"].to_numpy(), votes["label"].to_numpy())
 
@@ -254,5 +254,5 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     C.prepare(spark)
     docs = C.id_and_text(docs, key, text)
     shared = spark.sparkContext.broadcast(train(docs, labels))
-    out = docs.mapInArrow(_run(shared), "doc_id long, score double, neighbours array<long>")
+    out = docs.mapInArrow(C.lean("toxicity", _run(shared)), "doc_id long, score double, neighbours array<long>")
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from collatio.llm import bpe, chunks, rans
+from collatio.llm import bpe, chunks, common, rans
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,6 +69,13 @@ def test_library_by_joined_chunks():
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_the_codec_goes_when_a_worker_serves_another_operator():
+    c = bpe.codec(PATH)
+    assert bpe.codec(PATH) is c
+    assert list(common.lean("toxicity", lambda x: x)([1])) == [1]
+    assert bpe.codec(PATH) is not c
+
+
 def test_frames(spark):
     rows = [(1, "a token", "x"), (1, "a token", "x"), (2, None, None), (3, "", "y"), (None, "z", "y")]
     out = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH).collect()
