@@ -2,6 +2,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,18 @@ def test_command_line(spark, tmp_path):
     assert json.loads((tmp_path / "results/report.json").read_text())["field_summary"][1]["value_corrections_applied"] == 1
     assert spark.read.option("header", True).csv(at("results/documents")).count() == 2
     assert main(["parse", at("none"), "--templates", at("templates"), "--output", at("x")], spark) == 1
+
+
+def test_tokens_of_large_batches_come_in_pieces(spark):
+    """A worker holds the tokens of some texts, not of a whole batch; offsets are cut out exactly, odd characters and marks between tokens too."""
+    odd = ["", "  ", "Aß é B", "x\x01y z\x01", " \x01 a", "a<unclear>b</unclear> <gap/>c", "😀 x😀y 𝒳 a", "ſß ŉ ǰ", "12-06 €5", " a  b "]
+    assert [[tuple(t.values()) for t in x] for x in T.token_arrays([None, *odd]).to_pylist()] == [T.tokenize(T.compose(x)) for x in ["", *odd]]
+    batch = pa.array(["a b " * 1000] * 3 + ["c"] * 5 + [None])
+    assert [(s.start, s.stop) for s in T.pieces(batch, 8001)] == [(0, 2), (2, 9)] and [(s.start, s.stop) for s in T.pieces(batch, 10)] == [(0, 1), (1, 2), (2, 3), (3, 9)]
+    assert [len(x) for x in T.tokenize_udf.func(iter([pa.array(["a b " * 100_000] * 4 + ["c"])]))] == [2, 3]
+    df = spark.createDataFrame(list(enumerate([*odd, None, "\ufeffa b"])), "i int, text string").withColumn("t", T.tokenize_udf("text"))
+    moved = F.transform("t", lambda t, i: F.struct(t["text"].alias("text"), (t["raw_start"] + i % 2).alias("raw_start"), (t["raw_end"] + i % 3).alias("raw_end")))
+    for tokens in ("t", "moved"):
+        plain = F.size(F.filter(tokens, lambda t: T.normalized(F.substring(F.col("text"), t["raw_start"] + 1, t["raw_end"] - t["raw_start"])) != t["text"]))
+        got = df.withColumn("moved", moved).select(T.misplaced(F.col("text"), F.col(tokens)).alias("a"), plain.alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and (tokens == "t" or sum(r.a for r in got) > 5)
