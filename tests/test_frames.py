@@ -272,3 +272,25 @@ def test_tokens_of_large_batches_come_in_pieces(spark):
         plain = F.size(F.filter(tokens, lambda t: T.normalized(F.substring(F.col("text"), t["raw_start"] + 1, t["raw_end"] - t["raw_start"])) != t["text"]))
         got = df.withColumn("moved", moved).select(T.misplaced(F.col("text"), F.col(tokens)).alias("a"), plain.alias("b")).collect()
         assert [r.a for r in got] == [r.b for r in got] and (tokens == "t" or sum(r.a for r in got) > 5)
+
+
+def test_forms_are_parsed_once_after_they_are_dealt(spark):
+    """A filter on the parsed column, inferred from its explode, parsed all forms in the one task that reads them."""
+    from collatio.plans.queries import QUERIES
+
+    for name in ("local_keys", "parsed_fields", "recovered_keys", "search_region", "neighbor_windows", "raw_values"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("+- ArrowEvalPython [") == 1, name
+        assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM"), name
+
+
+def test_parsed_forms_come_in_pieces(spark):
+    """A worker holds the rows of some forms, not of a whole batch, and compares equal windows once."""
+    texts = pa.array([f"Nome x{i} Corso agraria Anno {i}" for i in range(20_000)])
+    named = pa.array(["t"] * len(texts))
+    pieces = [len(x) for x in parse.parser({"t": FIELDS}).func(iter([(texts, named)]))]
+    assert sum(pieces) == 20_000 and max(pieces) * 25 <= parse.AT_ONCE
+    key, found = parse.Key(FIELDS[0]), []
+    key.ratio = lambda text: found.append(text) or 100.0
+    assert len(key.find(parse.Texts(["Nome a", "Nome b", "", "Nome"]), 70.0)) == 4 and found == ["nome"]
+    assert not parse.Key(FIELDS[1]).known and parse.KNOWN <= 20_000
