@@ -126,7 +126,7 @@ def scored(spark: SparkSession, a: argparse.Namespace) -> int:
     for side in ("ocr", "gt"):
         x = files.assign(pairs, found).select("document", "template", parse.parsed(F.col(f"{side}_text"), by_name, thresholds, F.col("template")).alias("rows"))
         sinks.write_json(parse.documents(x, "rows", "template", keep=["document"], thresholds=thresholds), f"{a.output}/parsed_{side}")
-    sinks.pretty(spark, fields.report(rows, inputs={"ocr_dir": a.ocr_dir, "gt_dir": a.gt_dir}, thresholds=thresholds, threshold=a.dictionary_threshold, margin=a.dictionary_margin), f"{a.output}/report.json")
+    fields.report(rows, f"{a.output}/report.json", inputs={"ocr_dir": a.ocr_dir, "gt_dir": a.gt_dir}, thresholds=thresholds, threshold=a.dictionary_threshold, margin=a.dictionary_margin)
     print(fields.console(rows).first().asDict())
     return 0
 

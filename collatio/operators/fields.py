@@ -8,19 +8,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.text import pieces
+from ..sources import shared, sinks
 from .evaluate import error_rate
-from .parse import FIELD, GLOBAL, LOCAL, RECOVERY, Template, Templates, by_template
+from .parse import AT_ONCE, GLOBAL, KNOWN, LOCAL, RECOVERY, Template, Templates, arrow_type, by_template, filled
 
 THRESHOLD, MARGIN = 70.0, 15.0
 COUNTS = [f"{side}_{unit}s" for unit in ("char", "word") for side in ("ref", "hyp")] + [f"{unit}_{edit}" for unit in ("char", "word") for edit in ("substitutions", "deletions", "insertions")]
 COUNTED = f"struct<{','.join(f'{c}:long' for c in COUNTS)}>"
 BEST = "struct<candidate:string,score:double,second_score:double,phrase:string>"
-SIDES = f"struct<gt:{FIELD},ocr:{FIELD},key_post:string,value_post:string,whole:{BEST},region:{BEST},recovered:boolean,corrected:boolean,key_pre_counts:{COUNTED},key_post_counts:{COUNTED},value_pre_counts:{COUNTED},value_post_counts:{COUNTED}>"
+#: What of a parsed field is asked for later, of the truth and of the reading.
+TRUTH = "struct<field_order:int,key_id:string,key_expected:string,key_found:string,key_status:string,field_id:string,category:string,value:string>"
+READ = "struct<key_found:string,key_status:string,dictionary:string,value:string,boundary_status:string,region:string>"
+SIDES = f"struct<gt:{TRUTH},ocr:{READ},key_post:string,value_post:string,whole:{BEST},region:{BEST},recovered:boolean,corrected:boolean,key_pre_counts:{COUNTED},key_post_counts:{COUNTED},value_pre_counts:{COUNTED},value_post_counts:{COUNTED}>"
 
 
 def counted(ref: str, hyp: str) -> dict[str, int]:
@@ -61,7 +66,7 @@ class Terms:
         if not key[1]:
             return None
         if key not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
             self.known[key] = self._best(list(scored()))
         return self.known[key]
@@ -80,18 +85,28 @@ def process(gt: dict, ocr: dict, terms: Terms | None, threshold: float, margin:
     post = region["candidate"] if recovered else whole["candidate"] if accepts(whole, threshold, margin) else pre
     key_post = ocr["key_text"] if key else key
     out = {"gt": gt, "ocr": ocr, "key_post": key_post, "value_post": post, "whole": whole, "region": region, "recovered": recovered, "corrected": region["phrase"] != post if recovered else post != pre}
-    return out | {"key_pre_counts": counted(gt["key_found"], key), "key_post_counts": counted(gt["key_found"], key_post), "value_pre_counts": counted(gt["value"], pre), "value_post_counts": counted(gt["value"], post)}
+    for part, true, before, after in (("key", gt["key_found"], key, key_post), ("value", gt["value"], pre, post)):
+        counts = counted(true, before)
+        out |= {f"{part}_pre_counts": counts, f"{part}_post_counts": counts if after == before else counted(true, after)}
+    return out
+
 
+def scorer(templates: Templates, terms: dict[str, list[str]], thresholds: tuple[float, float, float], threshold: float, margin: float):
+    """The function of both texts and names of templates. Rows leave the worker by pieces of a batch, as Arrow arrays; equal texts of a piece are parsed once."""
+    kind = arrow_type(f"array<{SIDES}>")
 
-def sides(gt: Column, ocr: Column, template: Column, templates: Templates, terms: dict[str, list[str]], thresholds: tuple[float, float, float], threshold: float, margin: float) -> Column:
-    @F.pandas_udf(f"array<{SIDES}>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"array<{SIDES}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         compiled, dictionaries = {n: Template(f, thresholds) for n, f in templates.items()}, {n: Terms(t) for n, t in terms.items() if t}
         for truth, read, names in batches:
-            a, b = (by_template(x.fillna("").tolist(), names.tolist(), compiled) for x in (truth, read))
-            yield pd.Series([[process(x, y, dictionaries.get(y["dictionary"]), threshold, margin) for x, y in zip(f, g, strict=True)] for f, g in zip(a, b, strict=True)], dtype=object)
+            for part in pieces(truth, AT_ONCE):
+                for few in pieces(read[part], AT_ONCE):
+                    rows = slice(part.start + few.start, part.start + few.stop)
+                    of = names[rows].to_pylist()
+                    both = by_template(filled(truth[rows]) + filled(read[rows]), of + of, compiled)
+                    yield pa.array([[process(x, y, dictionaries.get(y["dictionary"]), threshold, margin) for x, y in zip(f, g, strict=True)] for f, g in zip(both[: len(of)], both[len(of) :], strict=True)], kind)
 
-    return run(gt, ocr, template)
+    return run
 
 
 STAGES = ("pre", "post")
@@ -103,7 +118,7 @@ def evaluate(pairs: DataFrame, templates: Templates, terms: dict[str, list[str]]
     A key that the truth itself lacks is an error of the data and ends the run, unless strict is false: guard() then lists them. Null texts are empty.
     Columns of names without stage keep the meaning of before. Texts of corrected keys are shown only where a key was corrected.
     """
-    x = pairs.select("document", "template", F.explode(sides(F.col("gt_text"), F.col("ocr_text"), F.col("template"), templates, terms, thresholds, threshold, margin)).alias("x"))
+    x = pairs.select("document", "template", F.explode(scorer(templates, terms, thresholds, threshold, margin)("gt_text", "ocr_text", "template")).alias("x"))
     lacks = F.col("x.gt.key_status") == "missing"
     if strict:
         x = x.where(F.when(lacks, F.raise_error(F.concat(F.lit("the truth lacks a key: "), "document", F.lit(" "), "x.gt.key_id")).cast("boolean")).otherwise(True))
@@ -219,14 +234,17 @@ def console(fields: DataFrame) -> DataFrame:
     return out.withColumns({f"{c}_percent": F.round(100 * F.try_divide(c, "fields"), 2) for c in ("keys_detected", "keys_exact_pre", "keys_exact_post")})
 
 
-def report(fields: DataFrame, *, inputs: dict[str, str], thresholds: tuple[float, float, float] = (GLOBAL, RECOVERY, LOCAL), threshold: float = THRESHOLD, margin: float = MARGIN) -> dict:
-    """Parameters, policy of metrics and the three summaries, for a report's one file (as many rows as fields, documents and categories have)."""
-    rows = lambda df, by: [r.asDict() for r in df.orderBy(*by).collect()]
-    documents = rows(document_summary(fields), ["document"])
+def report(fields: DataFrame, path: str, *, inputs: dict[str, str], thresholds: tuple[float, float, float] = (GLOBAL, RECOVERY, LOCAL), threshold: float = THRESHOLD, margin: float = MARGIN) -> None:
+    """Parameters, policy of metrics and the three summaries as one JSON file. Documents may be many: their rows are written by the executors and never on the driver."""
+    rows = lambda df, by: [r.asDict() for r in df.orderBy(*by).collect()]  # noqa: E731  as many as fields and categories
     names = ("global_threshold", "recovery_threshold", "local_fuzzy_threshold", "dictionary_threshold", "dictionary_margin")
-    return {
-        **inputs, "documents": len(documents), "fields": sum(d["fields_total"] for d in documents), "parameters": dict(zip(names, (*thresholds, threshold, margin), strict=True)),
+    of_fields, spark = rows(field_summary(fields), ["field_id"]), fields.sparkSession
+    documents = sinks.write_rows(document_summary(fields).orderBy("document"), shared.new_folder(spark, "rows"))
+    data = {
+        **inputs, "documents": spark.read.text(documents).count(), "fields": sum(f["occurrences"] for f in of_fields), "parameters": dict(zip(names, (*thresholds, threshold, margin), strict=True)),
         "metric_policy": {"value_exact_rate_denominator": "evaluable_items", "error_severity_subset": "evaluable_non_exact_items_only", "error_aggregation": "micro_sum_errors_over_sum_reference_units", "missing_keys_excluded_from_key_cer_non_exact": True},
         "key_postprocessing": {"enabled": True, "source": "template_expected", "detected_keys_only": True, "fill_missing_keys": False, "public_pre_post_text_only_when_changed": True},
-        "field_summary": rows(field_summary(fields), ["field_id"]), "document_summary": documents, "category_summary": rows(category_summary(fields), ["category", "stage"]),
+        "field_summary": of_fields, "document_summary": sinks.Rows(documents), "category_summary": rows(category_summary(fields), ["category", "stage"]),
     }
+    sinks.by_line(spark, data, path)
+    shared.delete(spark, documents)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -61,6 +63,33 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+@contextlib.contextmanager
+def create(spark: SparkSession, path: str) -> Iterator[tuple[Callable[[str], None], Callable[[str, int], None]]]:
+    """A file in the place of an older one: functions that append a text, and another file's bytes from a position on, through a buffer of the JVM's."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+
+    def append(other: str, start: int) -> None:
+        file_system, q = _path(spark, other)
+        file = file_system.open(q)
+        try:
+            file.seek(start)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(file, out, 1 << 20, False)
+        finally:
+            file.close()
+
+    try:
+        yield lambda text: out.write(bytearray(text.encode())), append
+    finally:
+        out.close()
+
+
+def parts(spark: SparkSession, folder: str) -> list[str]:
+    """Files that Spark wrote, in order, those without rows left out."""
+    fs, p = _path(spark, folder)
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("part-") and x.getLen())
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _path(spark, path)
     file = fs.open(p)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,42 @@ def pretty(spark: SparkSession, data: dict, path: str) -> None:
     shared.write_text(spark, path, json.dumps(data, ensure_ascii=False, indent=2, default=str) + "\n")
 
 
+class Rows(NamedTuple):
+    """A folder of write_rows(), in the place of a list."""
+
+    folder: str
+
+
+def write_rows(df: DataFrame, folder: str) -> str:
+    """Rows as JSON in files of lines, in order; each line begins with the comma that parts it from the one before."""
+    df.select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))).write.option("compression", "none").text(folder)
+    return folder
+
+
+def by_line(spark: SparkSession, data: dict, path: str) -> None:
+    """A dict as one JSON file that is read again line by line: each value has a line, and each item of a list. Files of rows are joined as bytes, with a buffer's memory on the driver."""
+    told = lambda x: json.dumps(x, ensure_ascii=False, default=str)
+    with shared.create(spark, path) as (text, file):
+        for i, (name, value) in enumerate(data.items()):
+            text(("{\n" if i == 0 else ",\n") + told(name) + ": ")
+            if isinstance(value, Rows):
+                text("[\n")
+                for k, part in enumerate(shared.parts(spark, value.folder)):
+                    file(part, 1 if k == 0 else 0)
+                text("]")
+            else:
+                text("[\n" + "\n,".join(map(told, value)) + "\n]" if isinstance(value, list) else told(value))
+        text("\n}\n" if data else "{}\n")
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """What by_line() wrote, by many tasks: name and JSON of each value, items of lists without a name."""
+    line, named = F.regexp_replace("value", "^,|,$", ""), r'^"([^"]+)": (.+)$'
+    x = spark.read.text(path).select(F.regexp_extract(line, named, 1).alias("name"), line.alias("line"))
+    value = F.when(F.col("name") != "", F.regexp_extract("line", named, 2)).otherwise(F.col("line"))
+    return x.select(F.nullif("name", F.lit("")).alias("name"), value.alias("json")).where("json <> '[' and (name is not null or length(json) > 1)")
+
+
 def _now() -> str:
     return datetime.now(UTC).isoformat()
 

@@ -294,3 +294,22 @@ def test_parsed_forms_come_in_pieces(spark):
     key.ratio = lambda text: found.append(text) or 100.0
     assert len(key.find(parse.Texts(["Nome a", "Nome b", "", "Nome"]), 70.0)) == 4 and found == ["nome"]
     assert not parse.Key(FIELDS[1]).known and parse.KNOWN <= 20_000
+
+
+def test_report_has_its_documents_without_the_driver(spark, tmp_path, monkeypatch):
+    """Rows of documents never come to the driver; the file is one JSON value, and is read by line."""
+    gt = "Nome anna Corso agraria Anno 3"
+    pairs = spark.createDataFrame([(f'd"{i}\u00e9,', "t", gt, gt if i % 2 else "Nome anna Anno 3") for i in range(40)], "document string, template string, gt_text string, ocr_text string")
+    x, most = fields.evaluate(pairs, {"t": FIELDS}, {"courses": ["agraria", "farmacia"]}), []
+    whole, collect = [r.asDict() for r in fields.document_summary(x).orderBy("document").collect()], type(x).collect
+    monkeypatch.setattr(type(x), "collect", lambda df: most.append(rows := collect(df)) or rows)
+    path = str(tmp_path / "report.json")
+    fields.report(x, path, inputs={"gt_dir": "g"})
+    assert max(map(len, most)) == 5
+    told = json.loads((tmp_path / "report.json").read_text())
+    assert told["document_summary"] == whole and (told["documents"], told["fields"], told["gt_dir"], len(told["category_summary"])) == (40, 120, "g", 5)
+    got = collect(sinks.lines(spark, path))
+    assert {r.name: json.loads(r.json) for r in got if r.name} == {k: v for k, v in told.items() if not k.endswith("_summary")}
+    assert [json.loads(r.json) for r in got if r.name is None and '"document"' in r.json] == whole and sum(r.name is None for r in got) == 48
+    fields.report(x.limit(0), path, inputs={})
+    assert json.loads((tmp_path / "report.json").read_text())["document_summary"] == []
