@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
+from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +35,84 @@ def listing(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, bytes long")
 
 
+def store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, as Hadoop writes it, and its path there."""
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", folder)
+    return fs.FileSystem.from_uri(quote(folder, safe=":/@"))
+
+
+def _names(folder: str) -> Iterator[str]:
+    at, path = store(folder)
+    if isinstance(at, fs.LocalFileSystem):
+        with os.scandir(path) as found:
+            yield from (x.name for x in found if x.is_file())
+    else:
+        yield from (x.base_name for x in at.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File)
+
+
+def _listed(spark: SparkSession, pattern: str) -> DataFrame | None:
+    """Paths of files by pattern, found by executors: the driver has the folders only. None if it takes Hadoop."""
+    above, _, name = pattern.rpartition("/")
+    if not above or re.search(r"[{}\\\[\]]", name):
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(above)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    folders = sorted(x.getPath().toString() for x in found if x.isDirectory())
+    try:
+        for x in folders:
+            store(x)
+    except (pa.ArrowException, OSError):
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch[0].to_pylist():
+                names = (x for x in _names(folder) if fnmatch.fnmatchcase(x, name))
+                while few := list(islice(names, 10_000)):
+                    yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{x}" for x in few]})
+
+    return spark.createDataFrame([(x,) for x in folders], "path string").repartition(max(1, len(folders)), "path").mapInArrow(run, "path string")
+
+
+#: Bytes of files that a worker hands on at once.
+READ = 4_000_000
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    for batch in batches:
+        rows, size = [], 0
+        for path in batch[0].to_pylist():
+            at, own = store(path)
+            with at.open_input_stream(own) as file:
+                rows.append({"path": path, "content": file.read()})
+            size += len(rows[-1]["content"])
+            if size >= READ:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 def texts(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, text of each file; strict UTF-8, lines end with line feeds, zero bytes are the empty text."""
-    files = listing(spark, pattern)
-    if files.isEmpty():
+    """path, text of each file; strict UTF-8, lines end with line feeds, zero bytes are the empty text. Executors list and read; only what they can't open is listed on the driver."""
+    found = _listed(spark, pattern)
+    if found is None:
+        files = listing(spark, pattern)
+    else:
+        files = found.repartition(4 * spark.sparkContext.defaultParallelism, "path")  # paths are small, the files aren't
+    if (files if found is None else found).isEmpty():
         raise NoInput(pattern)
-    try:
-        content = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("_path"), "content")
-    except AnalysisException:
-        content = spark.createDataFrame([], "_path string, content binary")
-    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    joined = files.join(content, same(F.col("path")) == same(F.col("_path")), "left")
+    if found is None:
+        try:
+            content = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("_path"), "content")
+        except AnalysisException:
+            content = spark.createDataFrame([], "_path string, content binary")
+        same = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        joined = files.join(content, same(F.col("path")) == same(F.col("_path")), "left")
+    else:
+        joined = files.mapInArrow(_contents, "path string, content binary")
     text = F.coalesce(F.decode("content", "UTF-8"), F.lit(""))
     checked = F.when(F.col("content").isNull() | F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")))
     return joined.select("path", F.regexp_replace(checked, "\r\n?", "\n").alias("text"))

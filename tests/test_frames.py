@@ -313,3 +313,23 @@ def test_report_has_its_documents_without_the_driver(spark, tmp_path, monkeypatc
     assert [json.loads(r.json) for r in got if r.name is None and '"document"' in r.json] == whole and sum(r.name is None for r in got) == 48
     fields.report(x.limit(0), path, inputs={})
     assert json.loads((tmp_path / "report.json").read_text())["document_summary"] == []
+
+
+def test_executors_list_and_read_files(spark, tmp_path, monkeypatch):
+    """The driver lists folders, not files; texts leave a worker in pieces."""
+    for i in range(60):
+        (tmp_path / f"o/experiment_1/m {i % 2}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"o/experiment_1/m {i % 2}/a{i} %41.txt").write_bytes(b"x\r\n" * (i % 3))
+    (tmp_path / "o/experiment_1/m 0/b.txt").mkdir()
+    (tmp_path / "o/experiment_1/m 0/c.TXT").write_text("")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(files, "_listed", lambda *_: None)
+        by_driver = plain(files.hypotheses(spark, str(tmp_path / "o")))
+    monkeypatch.setattr(files, "listing", None)
+    assert plain(files.hypotheses(spark, str(tmp_path / "o"))) == by_driver and len(by_driver) == 60
+    monkeypatch.setattr(files, "READ", 10)
+    batch = pa.RecordBatch.from_pydict({"path": [f"file:{tmp_path}/o/experiment_1/m {i % 2}/a{i} %41.txt" for i in range(9)]})
+    assert [x.num_rows for x in files._contents(iter([batch]))] == [5, 4]
+    with pytest.raises(files.NoInput):
+        files.texts(spark, f"{tmp_path}/o/*/none/*.txt")
