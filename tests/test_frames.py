@@ -333,3 +333,13 @@ def test_executors_list_and_read_files(spark, tmp_path, monkeypatch):
     assert [x.num_rows for x in files._contents(iter([batch]))] == [5, 4]
     with pytest.raises(files.NoInput):
         files.texts(spark, f"{tmp_path}/o/*/none/*.txt")
+
+
+def test_ngrams_normalise_once_and_invariants_align_characters_only(spark):
+    from collatio.plans.queries import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan("token_ngrams").count("trim(regexp_replace(") == 1
+    assert "character_edits(" in (x := plan("edit_invariants")) and "edit_counts(" not in x
+    df = spark.createDataFrame([("kitten", "sitting", n) for n in (2, 3, 4)], "a string, b string, n int")
+    assert [r[0] for r in df.select(F.call_function("levenshtein", F.col("a"), F.col("b"), F.col("n"))).collect()] == [-1, 3, 3]

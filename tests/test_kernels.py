@@ -159,3 +159,19 @@ def test_crafts_can_be_told_apart():
     terms = Terms(list(forms.CRAFTS))
     for t in forms.CRAFTS:
         assert "i" in t and accepts(terms.whole(t.replace("i", "j")), 70, 15)
+
+
+def test_edits_side_by_side_equal_edits_one_by_one(monkeypatch):
+    r = random.Random(9)
+    some = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randint(0, most)))
+    pairs = [(some("ab", 40), some("abc", 40)) for _ in range(300)] + [(some("abcdé😀", 8 * k), some("abcde", 8 * k + 1)) for k in range(40)]
+    pairs += [(x, x) for x, _ in pairs[:5]] + [("", ""), ("", "a"), ("a" * 8, "b" * 8), ("ab" * 300, "ba" * 450)]
+    for most in (kernels.LANE_BITS, 500):  # beyond it one by one
+        monkeypatch.setattr(kernels, "LANE_BITS", most)
+        assert kernels.edits_of(pairs) == [kernels.edits(a, b) for a, b in pairs]
+    of_words = [(list(a), list(b)) for a, b in pairs]
+    assert kernels.edits_of(of_words) == [kernels.edits(a, b) for a, b in of_words]
+    alone, calls = kernels._columns, []
+    monkeypatch.setattr(kernels, "_columns", lambda a, b: calls.append(a) or alone(a, b))
+    kernels.edits_of(pairs[:300])
+    assert len(calls) < 150
